@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import sharding
+from lumenstack.llm import langid, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,20 @@ def op1_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _remainder(divisor: int) -> Column:
+    """The remainder of crc32 of the id as text; null ids count as empty."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _remainder(4) == 2)
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_interleave_shards": op1_interleave_shards,
+    "op2_language_id": op2_language_id,
 }
 
 #: CRC-32 of a text's bytes, by a table of its polynomial.
