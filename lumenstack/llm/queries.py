@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import langid, sharding
+from lumenstack.llm import langid, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(5) == 0).alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_interleave_shards": op1_interleave_shards,
     "op2_language_id": op2_language_id,
+    "op4_toxicity": op4_toxicity,
 }
 
 #: CRC-32 of a text's bytes, by a table of its polynomial.
