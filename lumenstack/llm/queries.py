@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import langid, sharding, toxicity
+from lumenstack.llm import langid, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, words=3)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
     "op1_interleave_shards": op1_interleave_shards,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
+    "op7_simhash": op7_simhash,
 }
 
 #: CRC-32 of a text's bytes, by a table of its polynomial.
