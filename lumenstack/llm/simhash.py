@@ -173,9 +173,9 @@ def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     for batch in batches:
         if not len(batch):
             continue
-        held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("bucket", "fp", "node")))
+        bucket, fp, node = (batch.column(k).to_numpy() for k in ("bucket", "fp", "node"))
+        held.append((bucket, fp.view(np.uint64), node))
         bucket, fp, node = (np.concatenate(x) for x in zip(*held))
-        fp = fp.view(np.uint64) if fp.dtype == np.int64 else fp
         last = int(np.searchsorted(bucket, bucket[-1], "left"))
         if last:
             yield from flush(bucket[:last], fp[:last], node[:last])
