@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -30,6 +31,34 @@ def stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+class Forest:
+    """Disjoint sets of row numbers inside a task."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            x = self.parent[x]
+        return int(x)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+        """Those of the pairs that joined two sets: all that connectivity needs."""
+        apart = self.parent[a] != self.parent[b]
+        a, b = a[apart], b[apart]
+        _, once = np.unique(self.parent[a] * len(self.parent) + self.parent[b], return_index=True)
+        kept: tuple[list[int], list[int]] = ([], [])
+        for x, y in zip(a[once].tolist(), b[once].tolist()):
+            rx, ry = self.root(x), self.root(y)
+            if rx != ry:
+                self.parent[max(rx, ry)] = min(rx, ry)
+                kept[0].append(x)
+                kept[1].append(y)
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return kept
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node of an edge with the smallest node it reaches, itself included.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import bpe, langid, sharding, simhash, toxicity
+from lumenstack.llm import bpe, epsilon_grid, langid, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_grid.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 QUERIES = {
     "op1_interleave_shards": op1_interleave_shards,
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
+    "op9_epsilon_grid": op9_epsilon_grid,
 }
 
 #: CRC-32 of a text's bytes, by a table of its polynomial.
@@ -59,6 +64,16 @@ _CRC = """
       case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end)) as tbl)"""
 
 ORACLES = {
+    "op9_epsilon_grid": """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+    where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+      and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+  links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.98),
+  reach(node, root) as (select vec_id, vec_id from embeddings union select l.b, r.root from reach r join links l on l.a = r.node),
+  c as (select node, min(root) as component_id from reach group by node)
+select e.vec_id, (select count(*) from links l where l.a = e.vec_id)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join c on c.node = e.vec_id""",
     "op1_interleave_shards": f"""
 with {_CRC},
   d as (select doc_id, source, coalesce(text, '') as text, md5('42:' || coalesce(doc_id::varchar, '')) as h from documents),

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lumenstack.llm.components import connected_components, stored
+from lumenstack.llm.components import Forest, connected_components, stored
 from lumenstack.llm.textbatch import byte_buffer, with_columns
 
 BITS, SEED = 64, 42
@@ -124,31 +124,17 @@ def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int, block: i
 
 def _forest(values: np.ndarray, ids: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect the ids of what shares a bucket and lies within the radius: a spanning forest, not all pairs."""
-    parent = np.arange(len(values))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    a, b = [], []
+    forest, a, b = Forest(len(values)), [], []
     planes = bit_planes(values)
     for first in range(0, len(values), 256):
         for q, v in within_radius(values[first : first + 256], planes, radius):
             q = q + first
             ordered = (q < v) & (v < len(values))
             q, v = q[ordered], v[ordered]
-            apart = (bucket[q] == bucket[v]) & (parent[q] != parent[v])
-            q, v = q[apart], v[apart]
-            _, once = np.unique(parent[q] * len(values) + parent[v], return_index=True)
-            for x, y in zip(q[once].tolist(), v[once].tolist()):
-                rx, ry = root(x), root(y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-                    a.append(x)
-                    b.append(y)
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
+            meet = bucket[q] == bucket[v]
+            x, y = forest.join(q[meet], v[meet])
+            a += x
+            b += y
     return ids[np.array(a, int)], ids[np.array(b, int)]
 
 
