@@ -27,9 +27,10 @@ STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
 #: grows with the square of the length; longer ones are merged with a heap).
 MOST_HELD, LONGEST_FOLDED = 500_000, 64
 WORD, DOCUMENT, RESET = 0, 1, 2
+TASK_BYTES = 72_000_000
 #: A pair of ids is one number, as are a rank and an id: the left one above the lower ID_BITS.
 ID_BITS = 20
-NO_RANK = 1 << 40
+NO_RANK, PAIR = 1 << 40, 1 << 41
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,7 +60,8 @@ class Vocabulary:
         self.slots = 1 << max(8, (2 * len(pairs)).bit_length())
         slots: list[list[int]] = [[] for _ in range(self.slots)]
         for (left, right), rank in pairs.items():
-            slots[self._slot(left, right)] += [left << ID_BITS | right, rank]
+            slots[self._slot(left, right)] += [PAIR | left << ID_BITS | right, rank << ID_BITS | left]
+        slots = [[None, *slot] if slot else slot for slot in slots]
         self._rank_map = json.dumps(slots, separators=(",", ":"))
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -71,7 +73,7 @@ class Vocabulary:
         return (left * 40503 + right) & (self.slots - 1)
 
     def rank_map(self) -> Column:
-        """array<array<bigint>>: in the slot of a pair, pairs and their ranks in turn. A constant, folded before the job runs."""
+        """array<array<bigint>>: in the slot of a pair a null, then pairs and their cells in turn. A constant, folded before the job runs."""
         return F.from_json(F.lit(self._rank_map), "array<array<bigint>>")
 
     def pieces(self) -> Column:
@@ -94,17 +96,19 @@ def encoded(symbols: Column, vocabulary: Vocabulary) -> Column:
     def fold(table: Column) -> Column:
         def cell(left: Column, right: Column) -> Column:
             slot = F.get(table, (left * 40503 + right).bitwiseAND(F.lit(vocabulary.slots - 1)).cast("int"))
-            at = F.array_position(slot, F.shiftleft(left, ID_BITS).bitwiseOR(right))
-            rank = F.when((at > 0) & (at % 2 == 1), F.get(slot, at.cast("int")))
-            return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK >> ID_BITS)), ID_BITS).bitwiseOR(left)
+            # a pair that is missing has position 0, where the null is; else its cell comes next
+            found = F.get(slot, F.array_position(slot, F.shiftleft(left, ID_BITS) + (right + F.lit(PAIR))).cast("int"))
+            return F.coalesce(found, F.lit(NO_RANK).bitwiseOR(left))
 
         def merge(cells: Column, least: Column) -> Column:
             def at(k: Column) -> Column:
                 joined = F.shiftright(least, ID_BITS)
                 before = F.get(cells, k - 2).bitwiseAND(mask)
                 after = F.get(cells, k + 1).bitwiseAND(mask)
-                head = F.when(k > 1, F.concat(F.slice(cells, F.lit(1), F.greatest(k - 2, F.lit(0))), F.array(cell(before, joined)))).otherwise(F.slice(cells, F.lit(1), F.lit(0)))
-                return F.concat(head, F.array(F.coalesce(cell(joined, after), F.lit(NO_RANK).bitwiseOR(joined))), F.slice(cells, k + 2, F.size(cells)))
+                new = F.coalesce(cell(joined, after), F.lit(NO_RANK).bitwiseOR(joined))
+                rest = F.slice(cells, k + 2, F.size(cells))
+                first = F.concat(F.array(new), rest)
+                return F.when(k == 1, first).otherwise(F.concat(F.slice(cells, F.lit(1), k - 2), F.array(cell(before, joined), new), rest))
 
             return F.when(least < NO_RANK, _let(F.array_position(cells, least).cast("int"), at)).otherwise(cells)
 
@@ -207,7 +211,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], shared, with_ids: bool) -> Ite
                 words[body.decode()] = ",".join(map(str, code)), back
             else:
                 text = STRETCH.findall(body.decode())
-                for s in set(text) - stretches.keys():
+                for s in {s for s in text if s not in stretches}:
                     parts = [of_word(w) for w in pieces(s)]
                     stretches[s] = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
                 found = [stretches[s] for s in text]
@@ -232,7 +236,9 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern))  # bounded by the vocabulary
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(lambda batches: _with_words(batches, shared), _ROWS)
+    # the more text a task has, the rarer its new words: a stretch of documents of TASK_BYTES each
+    tasks = (docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0) // TASK_BYTES + 1
+    rows = source.coalesce(tasks).mapInArrow(lambda batches: _with_words(batches, shared), _ROWS)
     rows = rows.withColumn("ids", F.when(F.col("kind") == WORD, encoded(F.col("symbols"), vocabulary)))
     rows = rows.drop("symbols").withColumn("decoded", F.when(F.col("kind") == WORD, decoded(F.col("ids"), vocabulary)))
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
