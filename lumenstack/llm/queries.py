@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import bpe, epsilon_grid, langid, sharding, simhash, toxicity
+from lumenstack.llm import bpe, epsilon_grid, langid, sharding, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, words=3)
     return found.select("doc_id", "fingerprint", "component_id")
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op9_epsilon_grid": op9_epsilon_grid,
 }
@@ -64,6 +69,18 @@ _CRC = """
       case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end)) as tbl)"""
 
 ORACLES = {
+    "op5_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+  w as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from (select doc_id, h, unnest(range(len(h) // 2 - 49)) as p from d where len(h) >= 100)),
+  hit as (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by s) as first_id from w) where first_id < doc_id),
+  gone as (select distinct doc_id, p + unnest(range(50)) as b from hit),
+  bytes as (select d.doc_id, x.b, substr(d.h, 2 * x.b + 1, 2) as c from d, lateral (select unnest(range(len(d.h) // 2)) as b) x),
+  kept as (select bytes.doc_id, string_agg(c, '' order by bytes.b) as h from bytes anti join gone using (doc_id, b) group by bytes.doc_id),
+  n as (select doc_id, count(*) as n_removed, sum((not exists_before)::int) as n_spans from (
+    select doc_id, b, coalesce(lag(b) over (partition by doc_id order by b) = b - 1, false) as exists_before from gone) group by doc_id)
+select d.doc_id, (len(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept.h, ''))) as kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)""",
     "op9_epsilon_grid": """
 with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
     where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
