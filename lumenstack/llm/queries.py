@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import bpe, epsilon_grid, langid, sharding, simhash, suffix_dedup, toxicity
+from lumenstack.llm import bpe, epsilon_grid, langid, sharding, simhash, suffix_dedup, token_files, toxicity
+from lumenstack.llm.components import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), definition, path, end_id=0)
+    return token_files.token_index(token_files.read_tokens(spark, path))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, words=3)
     return found.select("doc_id", "fingerprint", "component_id")
@@ -59,6 +68,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op9_epsilon_grid": op9_epsilon_grid,
 }
