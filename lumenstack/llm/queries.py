@@ -36,8 +36,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(5) == 0).alias("held_out"))
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    labels = _table(spark, sf_dir, "labels").filter(_remainder(5) != 0)
+    model = toxicity.fit(docs.filter(~F.col("held_out")), labels)
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 

@@ -98,18 +98,23 @@ def train(texts: list[bytes], labels: list[int], smoothing=1.0, least_docs=5, st
     return NgramClassifier(index, r * weights, bias)
 
 
-def fit(labelled: DataFrame, per_label: int = 2000, seed: int = 42, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", **training) -> NgramClassifier | None:
-    """Train on at most per_label whole texts of each label, the first by a seeded hash. Null texts count as empty, null
-    labels are left out; without both labels there is no model (None).
+def fit(
+    docs: DataFrame, labels: DataFrame, per_label: int = 2000, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **training
+) -> NgramClassifier | None:
+    """Train on at most per_label whole texts of each label, the first by a seeded hash of their id.
 
-    The sample is cut in slices of the hash so that no task gathers a label's texts.
+    The sample is drawn from the labels alone, in slices of the hash so that no task ranks a whole label, and is
+    small enough to broadcast: only its texts leave the documents. Null texts count as empty, null ids and
+    labels are left out; without both labels there is no model (None).
     """
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
-        F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, F.lit(seed)).alias("h")
-    )
     slices = 16
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("label", F.pmod("h", F.lit(slices))).orderBy("h", F.md5("text"))))
-    sample = sorted((r.h, r.label, r.text) for r in rows.filter(F.col("nth") <= per_label // slices).collect())
+    rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col, F.lit(seed)).alias("h")
+    )
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("label", F.pmod("h", F.lit(slices))).orderBy("h", "id")))
+    chosen = F.broadcast(rows.filter(F.col("nth") <= max(1, per_label // slices)).drop("nth"))
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "id")
+    sample = sorted((r.h, r.label, r.text) for r in found.select("h", "label", "text").collect())
     if len({label for _, label, _ in sample}) < 2:
         return None
     return train([t.encode() for _, _, t in sample], [label for _, label, _ in sample], **training)
