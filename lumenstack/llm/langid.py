@@ -137,16 +137,19 @@ def train(texts: list[bytes], labels: list[str], widths=(2, 3, 4), per_width=16,
 def fit(docs: DataFrame, per_lang: int = 1000, chars: int = 768, seed: int = 42, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **training) -> ByteConvNet | None:
     """Train on at most per_lang texts of each language (the first by a seeded hash), a passage of at most chars characters each.
 
-    Rows whose language or text is null, or whose text has no letter, are left out; without any row left there is no model (None).
+    Rows whose language or text is null, or whose text has no letter, are left out; without any row left there is no model
+    (None). Languages are ranked in slices of the hash, so that no task gets the whole of a common one; a rare one gives
+    what its slices have.
     """
+    slices = 16
     place = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.greatest(F.char_length(text_col) - chars + 1, F.lit(1)))
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     ranked = labelled.select(
         F.col(lang_col).alias("label"),
         F.substring(F.col(text_col), (place + 1).cast("int"), F.lit(chars)).alias("passage"),
         F.xxhash64(id_col, F.lit(seed + 1)).alias("h"),
-    ).withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("h", "passage")))
-    rows = sorted((r.label, r.h, r.passage) for r in ranked.filter(F.col("nth") <= per_lang).collect())
+    ).withColumn("nth", F.row_number().over(W.partitionBy("label", F.pmod("h", F.lit(slices))).orderBy("h", "passage")))
+    rows = sorted((r.label, r.h, r.passage) for r in ranked.filter(F.col("nth") <= max(1, per_lang // slices)).collect())
     return train([r[2].encode() for r in rows], [r[0] for r in rows], **training) if rows else None
 
 
