@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import bpe, epsilon_grid, langid, sharding, simhash, suffix_dedup, token_files, toxicity
+from lumenstack.llm import bpe, epsilon_grid, langid, licences, sharding, simhash, suffix_dedup, token_files, toxicity
 from lumenstack.llm.components import scratch_path
 
 
@@ -62,6 +62,11 @@ def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_grid.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
+
+
 QUERIES = {
     "op1_interleave_shards": op1_interleave_shards,
     "op2_language_id": op2_language_id,
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op9_epsilon_grid": op9_epsilon_grid,
+    "op10_licence_rules": op10_licence_rules,
 }
 
 #: CRC-32 of a text's bytes, by a table of its polynomial.
@@ -78,7 +84,28 @@ _CRC = """
   bits as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0,0,0,0,0,0,0,0]), lambda a, b:
       case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end)) as tbl)"""
 
+def _licence_sql() -> str:
+    """The scan in SQL: the same sentences and rules as tables."""
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
+    rules = ", ".join(f"('{r.licence}', '{licences.rule_pattern(r)}')" for r in licences.RULES)
+    cut = """select doc_id, way, unnest(string_split_regex(regexp_replace(regexp_replace(t, '(?i)(identifier):', '\\1', 'g'),
+        '[.!?;:]+(\\s|$)', chr(10), 'g'), '[\\r\\n]+')) as s, generate_subscripts(string_split_regex(regexp_replace(regexp_replace(t,
+        '(?i)(identifier):', '\\1', 'g'), '[.!?;:]+(\\s|$)', chr(10), 'g'), '[\\r\\n]+'), 1) as n"""
+    return f"""
+with known(s, id) as (values {known}), rules(licence, pattern) as (values {rules}),
+  t as (select doc_id, 0 as way, text as t from documents where regexp_matches(text, '{licences.CUE}')
+    union all select doc_id, 1, regexp_replace(text, '[\\r\\n]+[\\s*#/]*', ' ', 'g') from documents where regexp_matches(text, '{licences.CUE}')),
+  c as ({cut} from t),
+  f as (select doc_id, way, string_agg(id, ',' order by n) as ids, count(*) as k
+    from c join known on known.s = trim(regexp_replace(lower(c.s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))
+    where regexp_matches(c.s, '{licences.CUE}') group by doc_id, way),
+  b as (select doc_id, arg_max(ids, k * 2 + (1 - way)) as sentences from f group by doc_id)
+select doc_id, sentences, coalesce((select string_agg(distinct licence, ',' order by licence) from rules
+  where regexp_matches(' ' || replace(sentences, ',', ' ') || ' ', pattern)), '') as licences from b"""
+
+
 ORACLES = {
+    "op10_licence_rules": _licence_sql(),
     "op5_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
   w as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from (select doc_id, h, unnest(range(len(h) // 2 - 49)) as p from d where len(h) >= 100)),
