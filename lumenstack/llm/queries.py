@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import bpe, epsilon_grid, langid, licences, sharding, simhash, suffix_dedup, token_files, toxicity
+from lumenstack.llm import bpe, decontamination, epsilon_grid, langid, licences, sharding, simhash, suffix_dedup, token_files, toxicity
 from lumenstack.llm.components import scratch_path
 
 
@@ -58,6 +58,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_grid.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
+    "op8_template_decontamination": op8_template_decontamination,
     "op9_epsilon_grid": op9_epsilon_grid,
     "op10_licence_rules": op10_licence_rules,
 }
