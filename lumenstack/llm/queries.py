@@ -42,7 +42,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept")
+    return suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents"), length=50)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -402,7 +402,7 @@ def _part_spans(table: pa.Table, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_SPANS)
 
 
-def _dropped(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _dropped(batches: Iterator[pa.RecordBatch], keep: list[str], texts: bool) -> Iterator[pa.RecordBatch]:
     """Each document without its spans."""
     for batch in batches:
         flat, ends = byte_buffer(batch.column("__text"))
@@ -422,16 +422,22 @@ def _dropped(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.
             else:
                 removed.append(0)
                 spans.append(0)
-            kept.append(text.tobytes())
-            digests.append(hashlib.sha256(kept[-1]).hexdigest())
+            rest = text.tobytes()
+            digests.append(hashlib.sha256(rest).hexdigest())
+            if texts:
+                kept.append(rest)
         sizes = np.diff(ends)
-        arrays = [batch.column(c) for c in keep] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        arrays = [batch.column(c) for c in keep] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+        names = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if texts:
+            arrays += [pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
+            names += ["kept", "kept_text"]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs (the id, unless named), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and
-    kept (binary, the remaining bytes).
+def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, texts: bool = False) -> DataFrame:
+    """The kept columns of docs (the id, unless named), n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256;
+    with texts also kept (binary, the remaining bytes) and kept_text (the whole characters among them).
 
     Texts are UTF-8 bytes; null texts are empty; matches never cross rows. Rows whose id is null neither lose
     bytes nor count as earlier. Rows of one id are one document in this sense: they never lose bytes to each
@@ -468,6 +474,5 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     all_spans = spans.unionByName(settled).unionByName(chunks).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "size")).alias("__spans"))
     left = docs.select(*keep, F.col(text_col).alias("__text"), F.col(id_col).cast("bigint").alias("__id"), key.alias("__key"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return left.join(all_spans, ["__id", "__key"], "left").mapInArrow(
-        lambda batches: _dropped(batches, keep), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    )
+    fields += ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary, kept_text string" * texts
+    return left.join(all_spans, ["__id", "__key"], "left").mapInArrow(lambda batches: _dropped(batches, keep, texts), fields)
