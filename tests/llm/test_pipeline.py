@@ -1,0 +1,28 @@
+import corpus_pipeline
+from lumenstack.llm.components import stored
+from lumenstack.llm import queries
+
+
+def test_stages_follow_each_other(spark, documents, sf_dir):
+    docs, sizes = documents, [documents.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(spark, stage(spark, docs, sf_dir), name)
+        sizes.append(docs.count())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == documents.columns
+    assert sizes[0] == sizes[1] > sizes[2] >= sizes[3] > sizes[4] == sizes[5] > 100
+    assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()}
+
+
+def test_odd_rows(spark, odd_rows, empty, sf_dir):
+    docs = odd_rows.select(corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = stored(spark, stage(spark, docs, sf_dir), name)
+    assert docs.count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_every_query_is_registered_and_has_its_columns():
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
