@@ -35,8 +35,11 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 def words_at_each_byte(flat: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on, as a big-endian number: numbers compare as the bytes do. Zeros follow the end."""
-    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(flat), 8), (1, 1)).copy().view(">u8")[:, 0].astype(np.uint64)
+    padded = np.concatenate([flat, np.zeros(16, np.uint8)])
+    words = np.empty(-(-len(flat) // 8) * 8, np.uint64)
+    for k in range(8):
+        words[k::8] = padded[k : k + len(words)].view(">u8")
+    return words[: len(flat)]
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -51,198 +54,265 @@ def gram_hashes(words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def window_runs(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, windows, minimizer) of each run of consecutive windows of a document with one minimizer."""
-    if len(flat) < length:
+def window_runs(grams: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, windows, minimizer) of each run of consecutive windows of a document with one minimizer.
+
+    grams: the hash of the gram at each byte of the texts, which end at `ends`.
+    """
+    n = len(grams) - length + 1
+    if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    least = gram_hashes(words_at_each_byte(flat))[: len(flat) - GRAM + 1]
-    span, have = length - GRAM + 1, 1
+    least, span, have = grams, length - GRAM + 1, 1
     while have * 2 <= span:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
-    if have < span:
-        least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
-    doc_of_end = np.searchsorted(ends, np.arange(len(least)), "right") - 1
-    fits = np.arange(len(least)) + length <= ends[doc_of_end + 1]
-    change = np.r_[True, (least[1:] != least[:-1]) | (doc_of_end[1:] != doc_of_end[:-1]) | (fits[1:] != fits[:-1])]
-    first = np.flatnonzero(change)
-    size = np.diff(np.r_[first, len(least)])
-    fit = fits[first]
-    return doc_of_end[first][fit], first[fit], size[fit], least[first][fit]
-
-
-def chunk_spans(flat: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """(start, stop) of the chunks of a text of at least `length` bytes; each overlaps the next, so that every window lies in one."""
-    n = len(flat)
-    if n < 16:
-        return [(0, n)]
-    marks = np.flatnonzero((gram_hashes(words_at_each_byte(flat))[: n - GRAM + 1] >> np.uint64(20)) % np.uint64(CHUNK) == 0) if n > GRAM else []
+    least = np.minimum(least[:n], least[span - have : span - have + n])
+    change = least[1:] != least[:-1]
+    fits = np.ones(n + 1, bool)  # a window that begins in the last length - 1 bytes of a text doesn't fit
+    for a, b in zip(np.maximum(ends[1:] - length + 1, ends[:-1]).tolist(), ends[1:].tolist()):
+        fits[min(a, n) : min(b, n)] = False
+    starts = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < n)]
+    change[starts - 1] = True
+    change |= fits[1:n] != fits[: n - 1]
+    first = np.flatnonzero(np.r_[True, change])
+    size = np.diff(np.r_[first, n])
+    some = fits[first]
+    first, size = first[some], size[some]
+    return np.searchsorted(ends, first, "right") - 1, first, size, least[first]
+
+
+def chunk_spans(grams: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """(start, stop) of the chunks of a text; each overlaps the next by length - 1, so that every window lies in one.
+
+    grams: the hashes of the text's grams. Cuts lie where a gram's hash says so, at least LEAST_CHUNK apart.
+    """
+    n = len(grams)
     cuts = [0]
-    for m in marks:
+    for m in np.flatnonzero(grams[: max(0, n - GRAM + 1)] % np.uint64(CHUNK) == 0).tolist():
         if m - cuts[-1] >= LEAST_CHUNK:
-            cuts.append(int(m))
+            cuts.append(m)
     return [(a, min(n, b + length - 1)) for a, b in zip(cuts, [*cuts[1:], n]) if a + length <= n]
 
 
-_ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("size", "<i4"), ("docs", "<i4"), ("chunk", "<i4")])
+#: Kinds of entries. RUN: windows with one minimizer. HEAD: a minimizer of several documents of a slice, whose number is its
+#: size. KNOWN: a run already known to be shared. CHUNK: a chunk, by the hash of its bytes.
+RUN, HEAD, KNOWN, CHUNK_OF, DONE, COMMON_RUN = range(6)
+
+
+class Entries:
+    """Entries as arrays of one length: kind, hash, doc (its id), key (of its text), start and size."""
+
+    FIELDS = {"kind": np.int8, "hash": np.uint64, "doc": np.int64, "key": np.int64, "start": np.int32, "size": np.int32}
+
+    def __init__(self, **columns: np.ndarray):
+        self.columns = {name: np.asarray(columns[name]).astype(kind, copy=False) for name, kind in self.FIELDS.items()}
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def __len__(self) -> int:
+        return len(self.columns["kind"])
+
+    def take(self, rows: np.ndarray) -> "Entries":
+        return Entries(**{name: values[rows] for name, values in self.columns.items()})
+
+    @staticmethod
+    def joined(parts: list["Entries"]) -> "Entries":
+        return Entries(**{name: np.concatenate([p.columns[name] for p in parts]) if parts else [] for name in Entries.FIELDS})
+
+    def packed(self) -> bytes:
+        """Documents in a table of their own, starts as steps: little is left to compress but the hashes."""
+        pair = np.stack([self.doc, self.key], axis=1)
+        new = np.r_[True, (pair[1:] != pair[:-1]).any(axis=1)] if len(self) else np.zeros(0, bool)
+        nth, step = (np.cumsum(new) - 1).astype(np.int32), np.diff(self.start, prepend=np.int32(0))
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (self.kind, self.hash, nth, step, self.size)], names=["kind", "hash", "nth", "step", "size"])
+        docs = pa.RecordBatch.from_arrays([pa.array(x) for x in (self.doc[new], self.key[new])], names=["doc", "key"])
+        out = pa.BufferOutputStream()
+        for batch in (docs, rows):
+            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch)
+        return out.getvalue().to_pybytes()
+
+    @staticmethod
+    def unpacked(body: bytes) -> "Entries":
+        source = pa.BufferReader(body)
+        docs, rows = (pa.ipc.open_stream(source).read_all() for _ in range(2))
+        nth = rows.column("nth").to_numpy()
+        start = np.cumsum(rows.column("step").to_numpy(), dtype=np.int32)
+        columns = {k: rows.column(k).to_numpy() for k in ("kind", "hash", "size")}
+        return Entries(doc=docs.column("doc").to_numpy()[nth], key=docs.column("key").to_numpy()[nth], start=start, **columns)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+def _dealt(entries: Entries, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, entries.take(order[cuts[b] : cuts[b + 1]]).packed()
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     flat, ends = byte_buffer(batch.column("text"))
     ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
     first = 0
     while first < len(batch):
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE, "right")) - 1)
-        yield flat[ends[first] : ends[last]], ends[first : last + 1] - ends[first], ids[first:last], keys[first:last], first, last
+        yield flat[ends[first] : ends[last]], ends[first : last + 1] - ends[first], ids[first:last], keys[first:last]
         first = last
 
 
 def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed entries by bucket: the minimizers and chunks of each slice of documents.
+    """Packed entries by bucket: the runs and chunks of each slice of documents.
 
-    A minimizer of several documents of the slice goes to its bucket once, with their number; their own
-    entries, already known to be shared, go anywhere. So no bucket gets a common one from every document.
+    A minimizer of several documents of the slice goes to its bucket once, as a head; their own runs, already known
+    to be shared, go anywhere. So no bucket gets a common minimizer from every document.
     """
     for batch in batches:
-        for flat, ends, ids, keys, _, _ in _slices(batch):
-            doc, first, size, least = window_runs(flat, ends, length)
-            entries = np.zeros(len(doc), _ENTRY)
-            entries["hash"], entries["doc"], entries["key"] = least, ids[doc], keys[doc]
-            entries["start"], entries["size"], entries["docs"] = first - ends[doc], size, 1
-            order = np.lexsort([entries["doc"], entries["hash"]])
-            entries = entries[order]
-            new = np.r_[True, entries["hash"][1:] != entries["hash"][:-1]] if len(entries) else np.zeros(0, bool)
+        for flat, ends, ids, keys in _slices(batch):
+            grams = gram_hashes(words_at_each_byte(flat))
+            doc, first, size, least = window_runs(grams, ends, length)
+            order = np.argsort(least)
+            new = np.r_[True, least[order][1:] != least[order][:-1]] if len(order) else np.zeros(0, bool)
             group = np.cumsum(new) - 1
-            fresh = new | np.r_[True, entries["doc"][1:] != entries["doc"][:-1]] if len(entries) else new
-            docs = np.bincount(group, fresh, int(new.sum())).astype(np.int32)
-            many = docs[group] > 1
-            sent = entries[~many]
-            heads = entries[new & many].copy()
-            heads["docs"] = docs[group[new & many]]
-            heads["size"] = 0  # stands for entries that are settled
-            known = entries[many].copy()
-            known["docs"] = 0
-            chunks = [
-                (h & (1 << 64) - 1, ids[d], keys[d], a, b - a, 1, 1)
-                for d in np.flatnonzero(np.diff(ends) >= length)
-                for a, b in chunk_spans(flat[ends[d] : ends[d + 1]], length)
-                for h in (xxhash.xxh3_128_intdigest(flat[ends[d] + a : ends[d] + b].tobytes()),)
-            ]
-            packed = np.concatenate([sent, heads, known, np.array(chunks, _ENTRY) if chunks else np.zeros(0, _ENTRY)])
-            bucket = (packed["hash"] % np.uint64(buckets)).astype(np.int64)
-            spread = np.flatnonzero(packed["docs"] == 0)
-            bucket[spread] = np.arange(len(spread)) % buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            blobs = [_pack(packed[order[cuts[b] : cuts[b + 1]]]) for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "body"])
-
-
-def _pack(entries: np.ndarray) -> bytes:
-    """Byte planes, so that what is alike lies together for the shuffle's compression."""
-    return entries.view(np.uint8).reshape(len(entries), -1).T.tobytes()
-
-
-def _unpack(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(_ENTRY.itemsize, -1).T).view(_ENTRY)[:, 0]
-
-
-_SHARED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("hash", pa.int64())])
-RUN, DONE, COMMON_RUN = 0, 1, 2
-
-
-def _shared(batches: Iterator[pa.RecordBatch], common: int) -> Iterator[pa.RecordBatch]:
-    """Of the entries of each bucket: RUN for runs whose minimizer several documents have, DONE for chunks that an
-    earlier document has, COMMON_RUN for minimizers of many documents."""
-    held: list[np.ndarray] = []
+            several = np.flatnonzero(np.bincount(group)[group] > 1) if len(order) else order
+            pairs = np.unique(np.stack([group[several], ids[doc[order[several]]]], axis=1), axis=0) if len(several) else np.zeros((0, 2), np.int64)
+            docs = np.bincount(pairs[:, 0], minlength=int(new.sum()))
+            many = np.zeros(len(order), bool)
+            many[order] = docs[group] > 1
+            heads = order[np.flatnonzero(new)[docs > 1]]
+            runs = Entries(kind=np.where(many, KNOWN, RUN), hash=least, doc=ids[doc], key=keys[doc], start=first - ends[doc], size=size)
+            head = Entries(kind=np.full(len(heads), HEAD), hash=least[heads], doc=ids[doc[heads]], key=keys[doc[heads]], start=np.zeros(len(heads)), size=docs[docs > 1])
+            spans = [(d, a, b) for d in np.flatnonzero(np.diff(ends) >= length).tolist() for a, b in chunk_spans(grams[ends[d] : ends[d + 1]], length)]
+            text = flat.tobytes()
+            hashes = [xxhash.xxh3_64_intdigest(text[ends[d] + a : ends[d] + b]) for d, a, b in spans]
+            d, a, b = (np.array(x, np.int64) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 3
+            chunks = Entries(kind=np.full(len(d), CHUNK_OF), hash=np.array(hashes, np.uint64), doc=ids[d], key=keys[d], start=a, size=b - a)
+            packed = Entries.joined([runs, head, chunks])
+            bucket = np.where(packed.kind == KNOWN, np.arange(len(packed)) // 1000 % buckets, (packed.hash % np.uint64(buckets)).astype(np.int64))
+            dealt = list(_dealt(packed, bucket, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in dealt], pa.int64()), pa.array([x[1] for x in dealt], pa.binary())], names=["bucket", "body"])
+
+
+_SHARED = "bucket bigint, hash bigint, body binary"
+
+
+def _shared(batches: Iterator[pa.RecordBatch], common: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """For each bucket: packed, by the group of their document, the runs whose minimizer several documents have and the
+    chunks that an earlier document has (DONE); and the hashes of minimizers of many documents, in rows of their own."""
+    held: list[Entries] = []
     current = None
     for batch in batches:
         for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
             if bucket != current and held:
-                yield _bucket_shared(np.concatenate(held), common)
+                yield _bucket_shared(Entries.joined(held), common, groups)
                 held = []
             current = bucket
-            held.append(_unpack(body))
+            held.append(Entries.unpacked(body))
     if held:
-        yield _bucket_shared(np.concatenate(held), common)
-
-
-def _bucket_shared(entries: np.ndarray, common: int) -> pa.RecordBatch:
-    settled = entries[entries["docs"] == 0]
-    entries = entries[entries["docs"] > 0]
-    entries = entries[np.lexsort([entries["doc"], entries["chunk"], entries["hash"]])]
-    new = np.r_[True, (entries["hash"][1:] != entries["hash"][:-1]) | (entries["chunk"][1:] != entries["chunk"][:-1])] if len(entries) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    least = entries["doc"][heads][group] if len(entries) else entries["doc"]
-    most = np.maximum.reduceat(entries["doc"], heads)[group] if len(entries) else least
-    docs = np.bincount(group, entries["docs"], len(heads))
-    done = (entries["chunk"] == 1) & (entries["doc"] > least)
-    run = (entries["chunk"] == 0) & (entries["size"] > 0) & ((least != most) | (docs[group] > 1) & (np.bincount(group, entries["size"] == 0, len(heads)) > 0)[group])
-    many = new & (entries["chunk"] == 0) & (docs[group] >= common)
-    parts = [(settled, RUN), (entries[run], RUN), (entries[done], DONE), (entries[many], COMMON_RUN)]
-    columns = [np.concatenate([p[f] for p, _ in parts]) for f in ("doc", "key")]
-    kind = np.concatenate([np.full(len(p), k, np.int32) for p, k in parts])
-    rest = [np.concatenate([p[f] for p, _ in parts]) for f in ("start", "size")]
-    hashes = np.concatenate([p["hash"] for p, _ in parts]).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, kind, *rest, hashes)], schema=_SHARED)
+        yield _bucket_shared(Entries.joined(held), common, groups)
+
+
+def _bucket_shared(entries: Entries, common: int, groups: int) -> pa.RecordBatch:
+    settled = entries.take(np.flatnonzero(entries.kind == KNOWN))
+    kept, hot = [settled], []
+    for of_chunks in (False, True):
+        part = entries.take(np.flatnonzero((entries.kind == CHUNK_OF) if of_chunks else (entries.kind == RUN) | (entries.kind == HEAD)))
+        order = np.argsort(part.hash)
+        new = np.r_[True, part.hash[order][1:] != part.hash[order][:-1]] if len(order) else np.zeros(0, bool)
+        heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+        if not len(heads):
+            continue
+        doc = part.doc[order]
+        least, most = np.minimum.reduceat(doc, heads)[group], np.maximum.reduceat(doc, heads)[group]
+        if of_chunks:
+            late = np.sort(order[doc > least])
+            found = part.take(late)
+            found.columns["kind"] = np.full(len(late), DONE, np.int8)
+        else:
+            is_head = part.kind[order] == HEAD
+            docs = np.bincount(group, np.where(is_head, part.size[order], 1), len(heads))
+            with_head = np.bincount(group, is_head, len(heads)) > 0
+            found = part.take(np.sort(order[~is_head & ((least != most) | with_head[group])]))
+            hot = part.hash[order[heads]][docs >= common].view(np.int64).tolist()
+        kept.append(found)
+    found = Entries.joined(kept)
+    dealt = list(_dealt(found, found.key % groups, groups))
+    columns = [[x[0] for x in dealt] + [None] * len(hot), [None] * len(dealt) + hot, [x[1] for x in dealt] + [None] * len(hot)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "hash", "body"])
 
 
-_SUFFIXES = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
+_SUFFIXES = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("body", pa.binary())])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, common: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that chunks have not settled, by minimizer; windows of common minimizers by their own hash.
 
-    A context that several documents of a batch share goes out once, for the least of them; the others are settled:
-    they go out without bytes, as spans.
+    Rows come by group: packed entries first, then the documents. A context that several documents of a batch share
+    goes out once, for the least of them. Rows without a part are settled spans: they carry no bytes.
     """
+    group, packed, of_doc = None, [], None
     for batch in batches:
+        is_doc = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
+        buckets = batch.column("bucket").to_numpy()
         flat, ends = byte_buffer(batch.column("text"))
+        ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
         seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         out: list[tuple] = []
-        ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-        runs_of, done_of = batch.column("runs"), batch.column("done")
-        for d in range(len(batch)):
-            runs = runs_of[d].values
-            if runs is None or not len(runs):
+        for r in range(len(batch)):
+            if buckets[r] != group:
+                group, packed, of_doc = buckets[r], [], None
+            if not is_doc[r]:
+                packed.append(Entries.unpacked(batch.column("body")[r].as_py()))
+                continue
+            if of_doc is None:
+                of_doc = _by_document(Entries.joined(packed))
+                packed = []
+            found = of_doc.get((ids[r], keys[r]))
+            if found is None:
                 continue
-            start, size, least = (runs.field(k).to_numpy() for k in ("start", "size", "hash"))
-            if done_of[d].values is not None and len(done_of[d].values):
-                left, right = (done_of[d].values.field(k).to_numpy().astype(np.int64) for k in ("start", "size"))
-                order = np.argsort(left)
-                left, right = left[order], np.maximum.accumulate((left + right)[order])
-                # windows of settled chunks are settled: cut them from both ends of a run
-                low, high = start.astype(np.int64), start.astype(np.int64) + size
-                for _ in range(2):
-                    at = np.searchsorted(left, low, "right") - 1
-                    inside = (at >= 0) & (low + length <= right[at])
-                    low = np.where(inside, np.minimum(high, right[at] - length + 1), low)
-                    at = np.searchsorted(left, high - 1, "right") - 1
-                    inside = (at >= 0) & (high - 1 + length <= right[at])
-                    high = np.where(inside, np.maximum(low, np.minimum(high, left[at])), high)
-                some = low < high
-                start, size, least = low[some], (high - low)[some], least[some]
-            text = flat[ends[d] : ends[d + 1]].tobytes()
-            for s, n, h in zip(start.tolist(), size.tolist(), least.tolist()):
+            start, size, least, left, right = _unsettled(found, length)
+            out += [(None, ids[r], keys[r], a, b - a, None) for a, b in zip(left.tolist(), right.tolist())]
+            text = flat[ends[r] : ends[r + 1]].tobytes() if len(start) else b""
+            for s, n, h in zip(start.tolist(), size.tolist(), least.view(np.int64).tolist()):
                 pieces = [(h, s, text[s : s + n + length - 1])]
                 if h in common:
                     pieces = [(xxhash.xxh3_64_intdigest(w) - (1 << 63), s + k, w) for k in range(n) for w in (text[s + k : s + k + length],)]
                 for part, at, body in pieces:
                     other = seen.get((part, body))
-                    if other is None or other[0] > ids[d]:
-                        seen[part, body] = (ids[d], keys[d], at)
+                    if other is None or other[0] > ids[r]:
+                        seen[part, body] = (ids[r], keys[r], at)
                         if other is not None:
-                            out.append((None, *other, b"\0" * len(body)))
-                    elif other[0] < ids[d]:
-                        out.append((None, ids[d], keys[d], at, b"\0" * len(body)))
+                            out.append((None, *other, len(body), None))
+                    elif other[0] < ids[r]:
+                        out.append((None, ids[r], keys[r], at, len(body), None))
                     else:  # the same document again: its windows fare alike, but each place needs its span
-                        out.append((part, ids[d], keys[d], at, body))
-        out += [(part, *at, body) for (part, body), at in seen.items()]
+                        out.append((part, ids[r], keys[r], at, len(body), body))
+        out += [(part, *at, len(body), body) for (part, body), at in seen.items()]
         for k in range(0, len(out), 20_000):
-            columns = list(zip(*out[k : k + 20_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUFFIXES)], schema=_SUFFIXES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 20_000]), _SUFFIXES)], schema=_SUFFIXES)
+
+
+def _by_document(entries: Entries) -> dict[tuple[int, int], Entries]:
+    order = np.lexsort([entries.start, entries.key, entries.doc])
+    entries = entries.take(order)
+    new = np.flatnonzero(np.r_[True, (entries.doc[1:] != entries.doc[:-1]) | (entries.key[1:] != entries.key[:-1])]) if len(entries) else order
+    return {(int(entries.doc[a]), int(entries.key[a])): entries.take(np.arange(a, b)) for a, b in zip(new, np.r_[new[1:], len(entries)])}
+
+
+def _unsettled(entries: Entries, length: int) -> tuple[np.ndarray, ...]:
+    """(start, size, minimizer) of a document's runs outside its settled chunks, and those chunks' starts and stops."""
+    done = entries.take(np.flatnonzero(entries.kind == DONE))
+    runs = entries.take(np.flatnonzero(entries.kind != DONE))
+    left = done.start.astype(np.int64)
+    right = np.maximum.accumulate(left + done.size)
+    low, high = runs.start.astype(np.int64), runs.start.astype(np.int64) + runs.size
+    if len(left):
+        for _ in range(2):  # windows of settled chunks are cut from both ends of a run
+            at = np.searchsorted(left, low, "right") - 1
+            low = np.where((at >= 0) & (low + length <= right[at]), np.minimum(high, right[at] - length + 1), low)
+            at = np.searchsorted(left, high - 1, "right") - 1
+            high = np.where((at >= 0) & (high - 1 + length <= right[at]), np.maximum(low, np.minimum(high, left[at])), high)
+    some = low < high
+    return low[some], (high - low)[some], runs.hash[some], left, left + done.size
 
 
 def shallow_sort(words: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +409,17 @@ def earlier_windows(body: np.ndarray, ends: np.ndarray, part: np.ndarray, doc: n
     owner = np.repeat(np.arange(len(doc)), windows)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = ends[owner] + nth
-    order, segment = shallow_sort(words_at_each_byte(body), at, part[owner])
+    words = words_at_each_byte(body)
+    # windows whose hash occurs once in their part equal none: they stay out of the sort
+    mixed = part[owner].astype(np.uint64) * _C
+    for k in [*range(0, length - 7, 8), length - 8]:
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * _A + words[at + k]
+    mixed ^= mixed >> np.uint64(29)
+    by_hash = np.argsort(mixed)
+    same = mixed[by_hash][1:] == mixed[by_hash][:-1]
+    again = np.sort(by_hash[np.r_[False, same] | np.r_[same, False]])
+    owner, nth, at = owner[again], nth[again], at[again]
+    order, segment = shallow_sort(words, at, part[owner])
     text, found = body.tobytes(), []
     cuts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[cuts, len(segment)])
@@ -359,7 +439,7 @@ def earlier_windows(body: np.ndarray, ends: np.ndarray, part: np.ndarray, doc: n
 _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
 
-def _spans(batches: Iterator[pa.RecordBatch], length: int, enough: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], length: int, enough: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Spans to drop, from contexts that come sorted by part; contexts without a part are spans already."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -448,30 +528,25 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
     key = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), key.alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
+    long = source.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
-    # a bucket's entries, a task's memory, stay bounded as the corpus grows
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 64_000_000 + 1)
+    # what a task holds of a bucket or a group stays bounded as the corpus grows
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 32_000_000 + 1)
     common = max(COMMON, total // 16 // MOST_COMMON)
-    long = source.filter(F.octet_length("text") >= length)
     packed = long.mapInArrow(lambda batches: _entries(batches, length, buckets), "bucket bigint, body binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(lambda batches: _shared(batches, common), "doc_id bigint, key bigint, kind int, start int, size int, hash bigint")
-    shared = stored(spark, shared, "shared")
-    everywhere = frozenset(r.hash for r in shared.filter(F.col("kind") == COMMON_RUN).select("hash").limit(MOST_COMMON).collect())
-    of_doc = shared.filter(F.col("kind") != COMMON_RUN).groupBy("doc_id", "key").agg(
-        F.collect_list(F.when(F.col("kind") == RUN, F.struct("start", "size", "hash"))).alias("runs"),
-        F.collect_list(F.when(F.col("kind") == DONE, F.struct("start", "size"))).alias("done"),
-    )
-    contexts = long.join(of_doc.filter(F.size("runs") > 0), ["doc_id", "key"]).mapInArrow(
-        lambda batches: _contexts(batches, length, everywhere), "part bigint, doc_id bigint, key bigint, start int, body binary"
-    )
+    shared = stored(spark, dealt.mapInArrow(lambda batches: _shared(batches, common, buckets), _SHARED), "shared")
+    everywhere = frozenset(r.hash for r in shared.filter(F.col("hash").isNotNull()).select("hash").limit(MOST_COMMON).collect())
+    replies = shared.filter(F.col("body").isNotNull()).select("bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("string").alias("text"), "body")
+    asked = long.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "doc_id", "key", "text", F.lit(None).cast("binary").alias("body"))
+    met = replies.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("body").isNull())
+    contexts = met.mapInArrow(lambda batches: _contexts(batches, length, everywhere), "part bigint, doc_id bigint, key bigint, start int, size int, body binary")
     contexts = stored(spark, contexts, "contexts")
-    sorted_parts = contexts.filter(F.col("part").isNotNull()).repartition("part").sortWithinPartitions("part")
+    sorted_parts = contexts.filter(F.col("part").isNotNull()).select("part", "doc_id", "key", "start", "body").repartition(buckets, "part").sortWithinPartitions("part")
     spans = sorted_parts.mapInArrow(lambda batches: _spans(batches, length), "doc_id bigint, key bigint, start int, size int")
-    settled = contexts.filter(F.col("part").isNull()).select("doc_id", "key", "start", F.octet_length("body").alias("size"))
-    chunks = shared.filter(F.col("kind") == DONE).select("doc_id", "key", "start", "size")
-    all_spans = spans.unionByName(settled).unionByName(chunks).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "size")).alias("__spans"))
+    settled = contexts.filter(F.col("part").isNull()).select("doc_id", "key", "start", "size")
+    all_spans = spans.unionByName(settled).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "size")).alias("__spans"))
     left = docs.select(*keep, F.col(text_col).alias("__text"), F.col(id_col).cast("bigint").alias("__id"), key.alias("__key"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     fields += ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary, kept_text string" * texts
