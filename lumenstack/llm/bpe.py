@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
 #: Distinct stretches after which a task begins afresh, and the bytes of the longest word that is folded (the fold's work
 #: grows with the square of the length; longer ones are merged with a heap).
-MOST_HELD, LONGEST_FOLDED = 500_000, 64
+MOST_HELD, LONGEST_FOLDED = 300_000, 64
 WORD, DOCUMENT, RESET = 0, 1, 2
-TASK_BYTES = 72_000_000
+TASK_BYTES = 48_000_000
 #: A pair of ids is one number, as are a rank and an id: the left one above the lower ID_BITS.
 ID_BITS = 20
 NO_RANK, PAIR = 1 << 40, 1 << 41
@@ -162,7 +162,7 @@ def _with_words(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
     for batch in batches:
         for first in range(0, len(batch), 500):
             ids = batch.column("doc_id").slice(first, 500)
-            texts = batch.column("text").slice(first, 500).fill_null("").to_pylist()
+            texts = batch.column("text").slice(first, 500).fill_null("").to_numpy(zero_copy_only=False)
             if len(stretches) > MOST_HELD:
                 stretches, words = set(), set()
                 yield _rows([RESET], [None], [None], byte_ids)
@@ -189,37 +189,45 @@ def _assembled(batches: Iterator[pa.RecordBatch], shared, with_ids: bool) -> Ite
     """Documents as the concatenation of their words' ids and bytes; a stretch met before is not taken apart again."""
     ranks, pattern = shared.value
     pieces = regex.compile(pattern).findall
-    words: dict[str, tuple[str, bytes]] = {}
-    stretches: dict[str, tuple[str, bytes]] = {}
+    # apart, ids and bytes by word and by stretch: plain values in dictionaries give the garbage collector nothing to walk
+    word_ids: dict[str, str] = {}
+    word_bytes: dict[str, bytes] = {}
+    ids_of: dict[str, str] = {}
+    bytes_of: dict[str, bytes] = {}
     by_id = {rank: token for token, rank in ranks.items()}
 
-    def of_word(word: str) -> tuple[str, bytes]:
-        if word not in words:  # a token itself, or too long for the fold
-            body = word.encode()
-            ids = [ranks[body]] if body in ranks else merged_by_heap(body, ranks)
-            words[word] = ",".join(map(str, ids)), b"".join(by_id[i] for i in ids)
-        return words[word]
+    def known(stretch: str) -> None:
+        parts = pieces(stretch)
+        for word in parts:
+            if word not in word_ids:  # a token itself, or too long for the fold
+                body = word.encode()
+                ids = [ranks[body]] if body in ranks else merged_by_heap(body, ranks)
+                word_ids[word], word_bytes[word] = ",".join(map(str, ids)), b"".join([by_id[i] for i in ids])
+        ids_of[stretch] = ",".join(map(word_ids.__getitem__, parts))
+        bytes_of[stretch] = b"".join(map(word_bytes.__getitem__, parts))
 
     for batch in batches:
-        kinds, ids, bodies = (batch.column(k).to_pylist() for k in ("kind", "doc_id", "body"))
-        coded, plain = batch.column("ids").to_pylist(), batch.column("decoded").to_pylist()
+        kind = batch.column("kind").to_numpy()
+        ids = batch.column("doc_id").to_pylist() if (kind == DOCUMENT).any() else None
+        bodies, coded, plain = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("body", "ids", "decoded"))
         out: list[list] = [[], [], [], [], []]
-        for kind, doc_id, body, code, back in zip(kinds, ids, bodies, coded, plain):
-            if kind == RESET:
-                words, stretches = {}, {}
-            elif kind == WORD:
-                words[body.decode()] = ",".join(map(str, code)), back
-            else:
-                text = STRETCH.findall(body.decode())
-                for s in {s for s in text if s not in stretches}:
-                    parts = [of_word(w) for w in pieces(s)]
-                    stretches[s] = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-                found = [stretches[s] for s in text]
-                joined = ",".join([f[0] for f in found])
-                out[0].append(doc_id)
+        for part in np.split(np.arange(len(batch)), np.flatnonzero(kind == RESET)):  # words come before the documents that need them
+            if len(part) and kind[part[0]] == RESET:
+                for held in (word_ids, word_bytes, ids_of, bytes_of):
+                    held.clear()
+            rows = part[kind[part] == WORD]
+            words = [body.decode() for body in bodies[rows]]
+            word_ids.update(zip(words, coded[rows]))
+            word_bytes.update(zip(words, plain[rows]))
+            for r in part[kind[part] == DOCUMENT].tolist():
+                text = STRETCH.findall(bodies[r].decode())
+                for s in set(text).difference(ids_of):
+                    known(s)
+                joined = ",".join(map(ids_of.__getitem__, text))
+                out[0].append(ids[r])
                 out[1].append(joined.count(",") + 1 if joined else 0)
                 out[2].append(hashlib.sha256(joined.encode()).hexdigest())
-                out[3].append(hashlib.sha256(b"".join([f[1] for f in found])).hexdigest())
+                out[3].append(hashlib.sha256(b"".join(map(bytes_of.__getitem__, text))).hexdigest())
                 out[4].append([int(x) for x in joined.split(",")] if with_ids and joined else [])
         if out[0]:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + with_ids]
@@ -241,5 +249,6 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     rows = source.coalesce(tasks).mapInArrow(lambda batches: _with_words(batches, shared), _ROWS)
     rows = rows.withColumn("ids", F.when(F.col("kind") == WORD, encoded(F.col("symbols"), vocabulary)))
     rows = rows.drop("symbols").withColumn("decoded", F.when(F.col("kind") == WORD, decoded(F.col("ids"), vocabulary)))
+    rows = rows.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(lambda batches: _assembled(batches, shared, with_ids), fields)
