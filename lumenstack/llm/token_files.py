@@ -8,46 +8,74 @@ that hold it.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-#: A run of white space with what follows it up to the next one. A piece of the pre-tokenizer never crosses the start of
-#: such a run, so a text's ids are those of its stretches in turn. Python counts 1C to 1F as white space, the tokenizer doesn't.
-STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
-#: Stretches whose ids a worker remembers, and text bytes of a file.
-MOST_HELD, FILE_BYTES = 700_000, 48_000_000
-_MEMORY: dict[str, dict[str, bytes]] = {}
-_TOKENIZERS: dict[str, Tokenizer] = {}
+#: A run of white space with the letters that follow, if punctuation or white space comes next, or with all that follows up to
+#: the next white space. A piece of the pre-tokenizer never crosses the end of such a stretch, so a text's ids are those of its
+#: stretches in turn. Python counts 1C to 1F as white space, the tokenizer doesn't.
+STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?|%\s]|$)|(?:\S|[\x1c-\x1f])+)|\s+")
+#: Stretches whose ids a worker remembers in each of two generations, and text bytes of a file.
+MOST_HELD, FILE_BYTES = 400_000, 48_000_000
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
-def _tokenizer(definition: str) -> Tokenizer:
-    """Built once in a worker; the definition is the tokenizer's JSON."""
-    if definition not in _TOKENIZERS:
-        _TOKENIZERS[definition] = Tokenizer.from_str(definition)
-        _TOKENIZERS[definition].encode_special_tokens = True
-    return _TOKENIZERS[definition]
+class Encoder:
+    """A tokenizer and the ids of the stretches it met of late, kept by a worker from task to task.
+
+    Byte-level tokenizers without a prefix space are asked piece by piece, which spares them the offsets; others
+    encode the whole stretch.
+    """
+
+    def __init__(self, definition: str, pattern: str):
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.encode_special_tokens = True
+        parts = json.loads(definition)
+        before = parts.get("pre_tokenizer") or {}
+        self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not parts.get("normalizer")
+        self.pieces, self.model = regex.compile(pattern).findall, self.tokenizer.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encoded(self, stretch: str) -> bytes:
+        if not self.by_piece:
+            return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = [t.id for p in self.pieces(stretch) for t in self.model.tokenize(p.encode().decode("latin1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        cut = [STRETCH.findall(t) for t in texts]
+        if len(self.young) > MOST_HELD:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        for stretches in cut:
+            for s in set(stretches).difference(young):
+                young[s] = old[s] if s in old else self.encoded(s)
+        return [b"".join(map(young.__getitem__, stretches)) for stretches in cut]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared, end_id: int) -> Iterator[pa.RecordBatch]:
-    tokenizer, memory = _tokenizer(shared.value), _MEMORY.setdefault(shared.value, {})
+    definition, pattern = shared.value
+    if definition not in _ENCODERS:
+        _ENCODERS[definition] = Encoder(definition, pattern)
+    end = struct.pack("<I", end_id)
     for batch in batches:
-        for first in range(0, len(batch), 1000):
-            part = batch.slice(first, 1000)
-            texts = [STRETCH.findall(t) for t in part.column("text").fill_null("").to_pylist()]
-            if len(memory) > MOST_HELD:
-                memory.clear()
-            new = list({s for t in texts for s in t if s not in memory})
-            for k in range(0, len(new), 20_000):
-                some = new[k : k + 20_000]
-                memory.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
-            end = np.array([end_id], "<u4").tobytes()
-            bodies = [b"".join([*map(memory.__getitem__, t), end]) for t in texts]
+        for first in range(0, len(batch), 500):
+            part = batch.slice(first, 500)
+            bodies = [b + end for b in _ENCODERS[definition].texts(part.column("text").fill_null("").to_numpy(zero_copy_only=False).tolist())]
             counts = [len(b) // 4 for b in bodies]
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts], dtype=np.int32)), pa.array(np.frombuffer(b"".join(bodies), "<i4")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("file"), pa.array(counts, pa.int64()), ids], names=["doc_id", "file", "n_tokens", "ids"])
@@ -57,6 +85,7 @@ def write_tokens(
     docs: DataFrame,
     definition: str,
     path: str,
+    pattern: str = public_tokenizers.PATTERN,
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -65,13 +94,13 @@ def write_tokens(
     page_rows: int = 2_000,
     dictionary: bool = False,
 ) -> None:
-    """Write the ids of each text, end_id after each, below path: files by ascending id, named in their column `file`.
+    """Write the ids of each text by the tokenizer whose JSON is given (pattern: that of its byte-level pre-tokenizer), end_id after each, below path: files by ascending id, named in their column `file`.
 
     Null texts have the end id alone. Null ids come first; repeated ids follow each other, by their text. An empty
     table leaves files without rows.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(definition)
+    shared = spark.sparkContext.broadcast((definition, pattern))
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     files = (source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // FILE_BYTES + 1
     dealt = source.repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")

@@ -54,3 +54,13 @@ def test_odd_rows(spark, odd_rows, empty):
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(empty, DEFINITION, path)
     assert token_files.token_index(token_files.read_tokens(spark, path)).count() == 0
+
+
+def test_stretches_keep_ids():
+    import random
+
+    rng, encoder = random.Random(7), token_files.Encoder(DEFINITION, public_tokenizers.PATTERN)
+    assert encoder.by_piece
+    for _ in range(400):
+        text = "".join(rng.choice(["ab", "'s", " ", "  ", "\n", ".", "12", "!", "\x1c", "\x85", "　", "éa", "漢", ",", "<|endoftext|>"]) for _ in range(25))
+        assert encoder.texts([text])[0] == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
