@@ -423,9 +423,18 @@ def earlier_windows(body: np.ndarray, ends: np.ndarray, part: np.ndarray, doc: n
     text, found = body.tobytes(), []
     cuts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[cuts, len(segment)])
-    least = np.minimum.reduceat(doc[owner[order]], cuts) if len(cuts) else cuts
-    most = np.maximum.reduceat(doc[owner[order]], cuts) if len(cuts) else cuts
-    for i in np.flatnonzero((sizes > 1) & (least != most)).tolist():  # suffixes that still tie, of several documents
+    if not len(cuts):
+        return owner[:0], nth[:0]
+    docs, group = doc[owner[order]], np.repeat(np.arange(len(cuts)), sizes)
+    least, most = np.minimum.reduceat(docs, cuts), np.maximum.reduceat(docs, cuts)
+    # a tied group whose suffixes all equal its first is in order as it is; the others need a trie
+    place = at[order]
+    equal = np.ones(len(place), bool)
+    for k in [*range(0, length - 7, 8), length - 8]:
+        equal &= words[place + k] == words[place[cuts][group] + k]
+    uniform = np.logical_and.reduceat(equal, cuts)
+    found.append(order[uniform[group] & (docs > least[group])])
+    for i in np.flatnonzero((sizes > 1) & (least != most) & ~uniform).tolist():
         tied = order[cuts[i] : cuts[i] + sizes[i]]
         owners = doc[owner[tied]]
         for items in deep_sort(text, at[tied], length):
@@ -439,7 +448,7 @@ def earlier_windows(body: np.ndarray, ends: np.ndarray, part: np.ndarray, doc: n
 _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
 
-def _spans(batches: Iterator[pa.RecordBatch], length: int, enough: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], length: int, enough: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Spans to drop, from contexts that come sorted by part; contexts without a part are spans already."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -465,13 +474,13 @@ def _part_spans(table: pa.Table, length: int) -> pa.RecordBatch:
     part = table.column("part").to_numpy()
     size = np.diff(ends)
     _, group, count = np.unique(part, return_inverse=True, return_counts=True)
-    least, most = np.full(len(count), np.iinfo(np.int64).max), np.full(len(count), np.iinfo(np.int64).min)
-    np.minimum.at(least, group, doc)
-    np.maximum.at(most, group, doc)
-    rows = np.flatnonzero((least != most)[group])
+    by_part = np.argsort(group, kind="stable")
+    heads = np.cumsum(count) - count
+    mixed = np.minimum.reduceat(doc[by_part], heads) != np.maximum.reduceat(doc[by_part], heads) if len(heads) else np.zeros(0, bool)
+    rows = np.flatnonzero(mixed[group])
     if not len(rows):
         return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _SPANS], schema=_SPANS)
-    pick = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in rows])
+    pick = np.repeat(ends[rows] - np.r_[0, np.cumsum(size[rows])[:-1]], size[rows]) + np.arange(size[rows].sum())
     context, window = earlier_windows(body[pick], np.r_[0, np.cumsum(size[rows])], group[rows], doc[rows], length)
     order = np.lexsort([window, context])
     context, window = rows[context[order]], window[order]
