@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lumenstack.llm.textbatch import byte_buffer, with_columns
+from lumenstack.llm.textbatch import by_bytes, byte_buffer, with_columns
 
 UNDETERMINED = "und"
 PAD = 256
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: ByteConvNet | None, text_col: str = "text",
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: ByteConvNet | None, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, "__text", 4_000_000):
         letters = batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
         names, score = np.full(len(batch), UNDETERMINED, object), np.zeros(len(batch))
         if model is not None and letters.any():

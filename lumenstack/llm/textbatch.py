@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,3 +21,14 @@ def byte_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def with_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.RecordBatch:
     """The kept columns of a batch, then the new ones."""
     return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + list(new.values()), names=keep + list(new))
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes of a column, or of one row; an empty batch stays."""
+    for batch in batches:
+        _, ends = byte_buffer(batch.column(column))
+        first = 0
+        while first < len(batch) or first == len(batch) == 0:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
