@@ -6,6 +6,8 @@ pixels: t, y, x BIGINT, v DOUBLE [, masked BOOLEAN], a row per pixel: for window
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 PIXELS = "t bigint, y bigint, x bigint, v double"
@@ -56,3 +58,11 @@ def mirrored(i: Column, n: Column) -> Column:
 def offsets(df: DataFrame, name: str, values: list) -> DataFrame:
     """Each row once for each value: a literal table exploded in place, so nothing is joined."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from the cluster's checkpoint folder: what follows more than once isn't computed again."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

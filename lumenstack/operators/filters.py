@@ -11,7 +11,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenstack.model import mirrored
+from lumenstack.model import cut, mirrored
 
 AXES = ("t", "y", "x")
 
@@ -117,7 +117,7 @@ def wavelet_transform(pixels: DataFrame, scale: int | dict[str, int], sizes: dic
         # a union and an aggregate instead of a join: the difference is a sum with signs
         signed = current.unionByName(smooth.withColumn("v", -F.col("v")))
         bands.append(signed.groupBy(*keys).agg(F.sum("v").alias("v")).withColumn("band", F.lit(level)))
-        current = smooth
+        current = cut(smooth) if max(scale.values()) > 2 else smooth
     if not include_lower_scales:
         return bands[-1].drop("band")
     result = bands[0]

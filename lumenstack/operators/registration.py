@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lumenstack.model import cut, to_pixels
+
 
 def roll(pixels: DataFrame, dy: int, dx: int, sizes: tuple[int, int]) -> DataFrame:
     """Pixels rolled cyclically; masked where they wrapped around."""
@@ -57,8 +59,6 @@ def shortest_wraparound(column: str, size: int):
 
 def mean_frame(frames: DataFrame, shape: tuple[int, int], shifts: DataFrame | None = None) -> np.ndarray:
     """The mean of the shifted frames, a frame in size."""
-    from lumenstack.model import to_pixels
-
     pixels = to_pixels(frames)
     if shifts is not None:
         pixels = roll_by(pixels, shifts, shape)
@@ -73,17 +73,12 @@ def register_mean_offsets(frames: DataFrame, shape: tuple[int, int], max_iters:
 
     The mean over frames of the shifts, rounded half to even, is taken off. At most max_iters rounds.
     """
-    spark = frames.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
     shifts = frames.select("t", F.lit(0).cast("bigint").alias("dy"), F.lit(0).cast("bigint").alias("dx"))
     for _ in range(max_iters):
         raw = find_offsets(frames, mean_frame(frames, shape, shifts))
         mean = raw.agg(*[F.bround(F.avg(a)).cast("bigint").alias(f"m{a}") for a in ("dy", "dx")])
         centred = raw.crossJoin(F.broadcast(mean)).select("t", (F.col("dy") - F.col("mdy")).alias("dy"), (F.col("dx") - F.col("mdx")).alias("dx"))
-        new = centred.select("t", *[shortest_wraparound(a, n).cast("bigint").alias(a) for a, n in zip(("dy", "dx"), shape)]).checkpoint()
+        new = cut(centred.select("t", *[shortest_wraparound(a, n).cast("bigint").alias(a) for a, n in zip(("dy", "dx"), shape)]))
         same = new.join(shifts, ["t", "dy", "dx"], "left_anti").isEmpty()
         shifts = new
         if same:

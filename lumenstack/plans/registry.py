@@ -361,9 +361,9 @@ def skip_values(spark, sf_dir):
     return sequences.skip_values(table(spark, sf_dir, "events").select("event_id"), "event_id", skipped)
 
 
-@query(r"select url from pages where regexp_full_match(url,'/*https?:/+[^/]+/+[^/]+/*')")
+@query(r"select url from pages where regexp_full_match(url,'/*https?:/+[^/]+/+(en|fr)/+[^/]+/*')")
 def path_match(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter(config.matches_path(F.col("url"), "https?:/[^/]+/[^/]+")).select("url")
+    return table(spark, sf_dir, "pages").filter(config.matches_path(F.col("url"), "https?:/.+/(en|fr)/.+")).select("url")
 
 
 @query(
