@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 #: stretches in turn. Python counts 1C to 1F as white space, the tokenizer doesn't.
 STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?|%\s]|$)|(?:\S|[\x1c-\x1f])+)|\s+")
 #: Stretches whose ids a worker remembers in each of two generations, and text bytes of a file.
-MOST_HELD, FILE_BYTES = 400_000, 48_000_000
+MOST_HELD, FILE_BYTES = 550_000, 48_000_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -47,13 +47,19 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.space = self.letters[32]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encoded(self, stretch: str) -> bytes:
         if not self.by_piece:
             return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-        ids = [t.id for p in self.pieces(stretch) for t in self.model.tokenize(p.encode().decode("latin1").translate(self.letters))]
+        spaced = stretch[0] == " "
+        if (stretch[1:] if spaced else stretch).isalpha():  # one piece, as most are
+            piece = stretch.encode().decode("latin1").translate(self.letters) if not stretch.isascii() else self.space + stretch[1:] if spaced else stretch
+            ids = [t.id for t in self.model.tokenize(piece)]
+        else:
+            ids = [t.id for p in self.pieces(stretch) for t in self.model.tokenize(p.encode().decode("latin1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def texts(self, texts: list[str]) -> list[bytes]:
