@@ -29,8 +29,8 @@ MOST_HELD, LONGEST_FOLDED = 300_000, 64
 WORD, DOCUMENT, RESET = 0, 1, 2
 TASK_BYTES = 48_000_000
 #: A pair of ids is one number, as are a rank and an id: the left one above the lower ID_BITS.
-ID_BITS = 20
-NO_RANK, PAIR = 1 << 40, 1 << 41
+ID_BITS, INDEX_BITS = 20, 6
+NO_RANK = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,11 +57,10 @@ class Vocabulary:
             raise ValueError(f"every byte needs a token, and ranks must be below 2^{ID_BITS}")
         self.ranks, self.pattern = ranks, pattern
         pairs = pair_ranks(ranks)
-        self.slots = 1 << max(8, (2 * len(pairs)).bit_length())
-        slots: list[list[int]] = [[] for _ in range(self.slots)]
+        self.slots = 1 << max(8, len(pairs).bit_length())
+        slots: list[dict[str, int]] = [{} for _ in range(self.slots)]
         for (left, right), rank in pairs.items():
-            slots[self._slot(left, right)] += [PAIR | left << ID_BITS | right, rank << ID_BITS | left]
-        slots = [[None, *slot] if slot else slot for slot in slots]
+            slots[self._slot(left, right)][str(left << ID_BITS | right)] = rank << ID_BITS | left
         self._rank_map = json.dumps(slots, separators=(",", ":"))
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -73,8 +72,11 @@ class Vocabulary:
         return (left * 40503 + right) & (self.slots - 1)
 
     def rank_map(self) -> Column:
-        """array<array<bigint>>: in the slot of a pair a null, then pairs and their cells in turn. A constant, folded before the job runs."""
-        return F.from_json(F.lit(self._rank_map), "array<array<bigint>>")
+        """array<map<string,bigint>>: in the slot of a pair, pairs to their cells. A constant, folded before the job runs.
+
+        Spark looks maps up from end to end, so one map of all pairs is dealt into many small ones.
+        """
+        return F.from_json(F.lit(self._rank_map), "array<map<string,bigint>>")
 
     def pieces(self) -> Column:
         """The tokens by id, in hexadecimal."""
@@ -96,13 +98,12 @@ def encoded(symbols: Column, vocabulary: Vocabulary) -> Column:
     def fold(table: Column) -> Column:
         def cell(left: Column, right: Column) -> Column:
             slot = F.get(table, (left * 40503 + right).bitwiseAND(F.lit(vocabulary.slots - 1)).cast("int"))
-            # a pair that is missing has position 0, where the null is; else its cell comes next
-            found = F.get(slot, F.array_position(slot, F.shiftleft(left, ID_BITS) + (right + F.lit(PAIR))).cast("int"))
+            found = F.element_at(slot, F.shiftleft(left, ID_BITS).bitwiseOR(right).cast("string"))
             return F.coalesce(found, F.lit(NO_RANK).bitwiseOR(left))
 
-        def merge(cells: Column, least: Column) -> Column:
+        def merge(cells: Column, packed: Column) -> Column:
             def at(k: Column) -> Column:
-                joined = F.shiftright(least, ID_BITS)
+                joined = F.shiftright(packed, INDEX_BITS + ID_BITS)
                 before = F.get(cells, k - 2).bitwiseAND(mask)
                 after = F.get(cells, k + 1).bitwiseAND(mask)
                 new = F.coalesce(cell(joined, after), F.lit(NO_RANK).bitwiseOR(joined))
@@ -110,10 +111,14 @@ def encoded(symbols: Column, vocabulary: Vocabulary) -> Column:
                 first = F.concat(F.array(new), rest)
                 return F.when(k == 1, first).otherwise(F.concat(F.slice(cells, F.lit(1), k - 2), F.array(cell(before, joined), new), rest))
 
-            return F.when(least < NO_RANK, _let(F.array_position(cells, least).cast("int"), at)).otherwise(cells)
+            return F.when(packed < NO_RANK << INDEX_BITS, _let((packed.bitwiseAND(F.lit((1 << INDEX_BITS) - 1)) + 1).cast("int"), at)).otherwise(cells)
+
+        def least(cells: Column) -> Column:
+            """The least cell above its index: the first pair of least rank."""
+            return F.array_min(F.transform(cells, lambda c, i: F.shiftleft(c, INDEX_BITS).bitwiseOR(i.cast("bigint"))))
 
         start = F.transform(symbols, lambda x, i: F.coalesce(cell(x, F.get(symbols, i + 1)), F.lit(NO_RANK).bitwiseOR(x)))
-        merged = F.aggregate(F.array_repeat(F.lit(0), F.size(symbols) - 1), start, lambda cells, _: _let(F.array_min(cells), lambda least: merge(cells, least)))
+        merged = F.aggregate(F.array_repeat(F.lit(0), F.size(symbols) - 1), start, lambda cells, _: _let(least(cells), lambda packed: merge(cells, packed)))
         return F.transform(merged, lambda x: x.bitwiseAND(mask))
 
     return _let(vocabulary.rank_map(), fold)
