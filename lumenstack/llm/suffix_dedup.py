@@ -27,7 +27,7 @@ from lumenstack.llm.textbatch import byte_buffer
 
 GRAM = 20
 #: Mean and least length of the chunks; bytes per task's slice of a batch; bytes after which the shallow sort ends.
-CHUNK, LEAST_CHUNK, SLICE, SHALLOW = 256, 64, 4_000_000, 16
+CHUNK, LEAST_CHUNK, SLICE, SHALLOW = 256, 64, 2_000_000, 16
 #: A minimizer is common from this many documents on, or from a 2^16th of all runs: so there are at most 2^16 of them.
 COMMON, MOST_COMMON = 10_000, 1 << 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -45,13 +45,17 @@ def words_at_each_byte(flat: np.ndarray) -> np.ndarray:
 def gram_hashes(words: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each position on (meaningless where fewer are left)."""
     n = len(words)
-    second, third = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    second[: n - 8], third[: n - 12] = words[8:], words[12:]
-    h = (words ^ (words >> np.uint64(29))) * _A
-    h ^= (second ^ (second >> np.uint64(32))) * _B
-    h ^= (h >> np.uint64(31)) ^ third * _C
+    h = words ^ (words >> np.uint64(29))
+    h *= _A
+    mixed = words ^ (words >> np.uint64(32))  # of the bytes 8 to 15
+    mixed *= _B
+    h[: max(0, n - 8)] ^= mixed[8:]
+    np.multiply(words, _C, out=mixed)  # of the bytes 12 to 19
+    h ^= h >> np.uint64(31)
+    h[: max(0, n - 12)] ^= mixed[12:]
     h *= _B
-    return h ^ (h >> np.uint64(33))
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def window_runs(grams: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
