@@ -14,7 +14,7 @@ def test_held_out_rows(spark, documents, sf_dir):
 
 
 def test_short_words_decide():
-    model = toxicity.train([b"you are a fool", b"what a fool he is", b"a fine day"] * 10 + [b"a fine road", b"the sea is calm"] * 15, [1, 1, 0] * 10 + [0, 0] * 15)
+    model = toxicity.train([b"you are a fool", b"what a fool he is", b"a fine day"] * 10 + [b"a fine road", b"the sea is calm"] * 15, [1, 1, 0] * 10 + [0, 0] * 15, stand_out=1.0)
     import numpy as np
 
     texts = [b"such a FOOL", b"such a calm day", b""]
