@@ -134,11 +134,10 @@ def train(texts: list[bytes], labels: list[str], widths=(2, 3, 4), per_width=16,
     return net
 
 
-def fit(docs: DataFrame, per_lang: int = 1000, chars: int = 768, seed: int = 42, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **training) -> ByteConvNet | None:
-    """Train on at most per_lang texts of each language (the first by a seeded hash), a passage of at most chars characters each.
+def passages(docs: DataFrame, per_lang: int, chars: int, seed: int, text_col: str, lang_col: str, id_col: str) -> list[tuple[str, int, str]]:
+    """(language, hash, passage) of at most per_lang texts of each language, the first by a seeded hash.
 
-    Rows whose language or text is null, or whose text has no letter, are left out; without any row left there is no model
-    (None). Languages are ranked in slices of the hash, so that no task gets the whole of a common one; a rare one gives
+    Languages are ranked in slices of the hash, so that no task gets the whole of a common one; a rare one gives
     what its slices have.
     """
     slices = 16
@@ -149,10 +148,52 @@ def fit(docs: DataFrame, per_lang: int = 1000, chars: int = 768, seed: int = 42,
         F.substring(F.col(text_col), (place + 1).cast("int"), F.lit(chars)).alias("passage"),
         F.xxhash64(id_col, F.lit(seed + 1)).alias("h"),
     ).withColumn("nth", F.row_number().over(W.partitionBy("label", F.pmod("h", F.lit(slices))).orderBy("h", "passage")))
-    rows = sorted((r.label, r.h, r.passage) for r in ranked.filter(F.col("nth") <= max(1, per_lang // slices)).collect())
+    return sorted((r.label, r.h, r.passage) for r in ranked.filter(F.col("nth") <= max(1, per_lang // slices)).collect())
+
+
+def fit(docs: DataFrame, per_lang: int = 1000, chars: int = 768, seed: int = 42, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **training) -> ByteConvNet | None:
+    """Train on at most per_lang texts of each language (the first by a seeded hash), a passage of at most chars characters each.
+
+    Rows whose language or text is null, or whose text has no letter, are left out; without any row left there is no model
+    (None).
+    """
+    rows = passages(docs, per_lang, chars, seed, text_col, lang_col, id_col)
     return train([r[2].encode() for r in rows], [r[0] for r in rows], **training) if rows else None
 
 
+def bar(scores: np.ndarray, right: np.ndarray) -> float:
+    """The score up to which rejection is most often right more than it is wrong; 0 if that is within twice the deviation of chance."""
+    order = np.argsort(scores, kind="stable")
+    scores, right = scores[order], right[order]
+    gain = np.where(np.r_[scores[1:] != scores[:-1], True][: len(scores)], np.cumsum(np.where(right, -1, 1)), -len(scores))
+    k = int(gain.argmax()) if len(gain) else 0
+    return float(scores[k]) if len(gain) and gain[k] >= 2 * np.sqrt(k + 1) else 0.0
+
+
+def fit_bar(docs: DataFrame, model: ByteConvNet, per_lang: int = 1000, chars: int = 768, seed: int = 1042, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> float:
+    """The score up to which the model's predictions are not to be trusted, from another sample than fit's (they share texts where there are few)."""
+    rows = passages(docs, per_lang, chars, seed, text_col, lang_col, id_col)
+    if not rows:
+        return 0.0
+    names, scores = classify(model, pa.array([r[2] for r in rows], pa.string()))
+    return bar(scores, names == np.array([r[0] for r in rows], object))
+
+
+def classify(model: ByteConvNet, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text by the mean of its windows."""
+    flat, ends = byte_buffer(texts)
+    padded, start, length, doc = cut_windows(flat, ends, model.window, model.reach)
+    total = np.zeros((len(texts), len(model.langs)))
+    for k in range(0, len(start), 4096):
+        some = slice(k, k + 4096)
+        p = model.probabilities(window_ids(padded, start[some], length[some], model.window, model.reach))
+        for c in range(p.shape[1]):
+            total[:, c] += np.bincount(doc[some], p[:, c] * length[some], len(texts))
+    mean = total / np.maximum(np.diff(ends), 1)[:, None]
+    best = mean.argmax(axis=1)
+    return np.array(model.langs, object)[best], np.clip(mean[np.arange(len(texts)), best], 0, 1)
+
+
 def predict(docs: DataFrame, model: ByteConvNet | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns of docs (all, unless named), lang_pred and score.
 
@@ -170,16 +211,6 @@ def _predict(batches: Iterator[pa.RecordBatch], model: ByteConvNet | None, keep:
         letters = batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
         names, score = np.full(len(batch), UNDETERMINED, object), np.zeros(len(batch))
         if model is not None and letters.any():
-            flat, ends = byte_buffer(batch.column("__text"))
-            padded, start, length, doc = cut_windows(flat, ends, model.window, model.reach)
-            total = np.zeros((len(batch), len(model.langs)))
-            for k in range(0, len(start), 4096):
-                some = slice(k, k + 4096)
-                p = model.probabilities(window_ids(padded, start[some], length[some], model.window, model.reach))
-                for c in range(p.shape[1]):
-                    total[:, c] += np.bincount(doc[some], p[:, c] * length[some], len(batch))
-            mean = total / np.maximum(np.diff(ends), 1)[:, None]
-            best = mean.argmax(axis=1)
-            names[letters] = np.array(model.langs, object)[best[letters]]
-            score[letters] = np.clip(mean[np.arange(len(batch)), best][letters], 0, 1)
+            best, found = classify(model, batch.column("__text"))
+            names[letters], score[letters] = best[letters], found[letters]
         yield with_columns(batch, keep, lang_pred=pa.array(names, pa.string()), score=pa.array(score))

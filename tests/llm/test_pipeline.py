@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lumenstack.llm.components import stored
 from lumenstack.llm import queries
@@ -26,3 +30,28 @@ def test_odd_rows(spark, odd_rows, empty, sf_dir):
 def test_every_query_is_registered_and_has_its_columns():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_language_id_writes_what_the_network_says(spark, documents, sf_dir):
+    """Every twentieth document has a wrong label, or none; most get the right one."""
+    odd = F.col("doc_id") % 20 == 3
+    wrong = documents.withColumn("lang", F.when(~odd, F.col("lang")).when(F.col("doc_id") % 40 == 3, F.lit("en")))
+    truth = {r.doc_id: r.lang for r in documents.filter(odd).collect()}
+    found = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, wrong, sf_dir).filter(odd).collect()}
+    assert sum(found[i] == lang for i, lang in truth.items()) >= 0.8 * len(truth)
+
+
+def test_language_id_rejects_by_score(spark, documents, sf_dir):
+    """Random letters with random labels cannot be told."""
+    rng = random.Random(3)
+    langs = sorted({r.lang for r in documents.select("lang").collect()})
+    noise = [(10**6 + i, "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)), rng.choice(langs), "a", 300) for i in range(200)]
+    rows = documents.unionByName(spark.createDataFrame(noise, documents.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, rows, sf_dir).collect()}
+    clean = {r.doc_id for r in documents.collect()}
+    assert len(kept - clean) < 100 and len(kept & clean) >= 0.95 * len(clean)
+
+
+def test_language_id_without_labels_keeps_documents(spark, documents, sf_dir):
+    bare = documents.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, bare, sf_dir).count() == documents.filter(F.col("text").rlike(r"\p{L}")).count() > 0
