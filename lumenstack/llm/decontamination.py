@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders; windows of the words that result are hashed and
 joined with those of the benchmark. Along one alignment of a document and an item the slots must agree:
-each value of the item always stands where the same value of the document stands, and the other way
-round. So a question with other numbers and names is caught, and a chance mixture isn't.
+each value of the item always stands where the same value of the document stands, and the other way round. So a question with
+other numbers and names is caught, and a chance mixture isn't.
 
 Documents' windows are first held against a bit table of fixed size made of the benchmark's hashes, so
 only what may match enters the join.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCE_END = re.compile(r"[.!?:][\"'”’)\]]*$")
@@ -30,6 +30,8 @@ UNITS = frozenset(
 LITERAL, NUMBER, CAPITAL, UNIT = 0, 1, 2, 3
 #: Bits of the table that documents' windows are held against: 2 MB, whatever the benchmark's size.
 TABLE_BITS = 1 << 24
+#: By how many words the shift of an alignment may move from one window to the next.
+DRIFT = 8
 MOST_HELD, SLICE_CHARS = 1_000_000, 4_000_000
 
 
@@ -76,38 +78,51 @@ class Lexicon:
         return tokens, before[np.array(runs)]
 
 
-def template_windows(lexicon: Lexicon, texts: list[str], window: int, least_literals: int) -> tuple[np.ndarray, ...]:
-    """(hash, text, position) of each window with enough literal words; then the tokens before each text, the tokens, and whether each is a slot."""
+def template_windows(lexicon: Lexicon, texts: list[str], window: int, least_literals: int, least_named: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each of two readings: (hash, text, unit) of each window with enough literal words, then the units and what they hold.
+
+    A unit is a literal word, a unit word, or a run of numbers or names inside a sentence. The first reading takes a
+    sentence's first word literally; the second takes a capital one as a name, and has only the windows with such a word.
+    """
     tokens, runs = lexicon.tokens(texts)
     kind = np.array(lexicon.kinds, np.int8)[tokens] if len(tokens) else np.zeros(0, np.int8)
     ends = np.array(lexicon.ends, bool)[tokens] if len(tokens) else np.zeros(0, bool)
     opens = np.r_[True, ends[:-1]] if len(tokens) else ends
     opens[runs[:-1][runs[:-1] < len(tokens)]] = True
     after_number = np.r_[False, kind[:-1] == NUMBER] & ~opens if len(tokens) else opens
-    number, name, unit = kind == NUMBER, (kind == CAPITAL) & ~opens, (kind == UNIT) & after_number
-    slot = number | name | unit
-    h = np.array(lexicon.hashes, np.uint64)[tokens] if len(tokens) else np.zeros(0, np.uint64)
-    for is_slot, placeholder in ((number, "<number>"), (name, "<name>"), (unit, "<unit>")):
-        h[is_slot] = _hash(placeholder)
-    n = len(h) - window + 1
-    if n <= 0:
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, runs, tokens, slot
-    total = np.zeros(n, np.uint64)
-    for k in range(window):
-        total = (total ^ (total >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    total = (total ^ (total >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    literals = np.r_[0, np.cumsum(~slot)]
-    text = np.searchsorted(runs, np.arange(n), "right") - 1
-    fits = (np.arange(n) + window <= runs[text + 1]) & (literals[window:] - literals[:-window] >= least_literals)
-    at = np.flatnonzero(fits)
-    return total[at], text[at], at - runs[text[at]], runs, tokens, slot
-
-
-_WINDOWS = "id bigint, h bigint, at int, n int, slots array<string>"
-
-
-def _windows(batches: Iterator[pa.RecordBatch], window: int, least_literals: int, table) -> Iterator[pa.RecordBatch]:
+    opener = (kind == CAPITAL) & opens
+    plain = np.where((kind == NUMBER) | ((kind == CAPITAL) & ~opens) | ((kind == UNIT) & after_number), kind, LITERAL).astype(np.int8)
+    hashes = np.array(lexicon.hashes, np.uint64)[tokens] if len(tokens) else np.zeros(0, np.uint64)
+    for named in (False, True):
+        slot = np.where(opener, np.int8(CAPITAL), plain) if named else plain
+        goes_on = np.r_[False, (slot[1:] == slot[:-1]) & ((slot[1:] == NUMBER) | (slot[1:] == CAPITAL))] & ~opens if len(slot) else opens
+        starts = np.flatnonzero(~goes_on)
+        slot = slot[starts]
+        h = hashes[starts]
+        for is_kind, placeholder in ((NUMBER, "<number>"), (CAPITAL, "<name>"), (UNIT, "<unit>")):
+            h[slot == is_kind] = _hash(placeholder)
+        n = max(0, len(h) - window + 1)
+        literals = np.r_[0, np.cumsum(slot == LITERAL)]
+        text = np.searchsorted(runs, starts[:n], "right") - 1
+        fits = (starts[window - 1 : window - 1 + n] < runs[text + 1]) & (literals[window : window + n] - literals[:n] >= (least_named if named else least_literals))
+        if named:
+            opened = np.r_[0, np.cumsum(opener[starts])]
+            fits &= opened[window : window + n] > opened[:n]
+        at = np.flatnonzero(fits)
+        total = np.zeros(len(at), np.uint64)
+        for k in range(window):
+            total = (total ^ (total >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[at + k]
+        total = (total ^ (total >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        yield total, text[at], at, np.r_[starts, len(tokens)], slot, runs, tokens, opener
+
+
+_SLOTS = "slots array<struct<at: int, value: string, opens: boolean>>"
+_SLOT = pa.struct([("at", pa.int32()), ("value", pa.string()), ("opens", pa.bool_())])
+_WINDOWS = f"id bigint, h bigint, at int, n int, {_SLOTS}"
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int, least_literals: int, least_named: int, table) -> Iterator[pa.RecordBatch]:
+    """at: the window's first word; n: the first words of the text's windows, counted for items only."""
     lexicon = Lexicon()
     bits = None if table is None else np.frombuffer(table.value, np.uint64)
     for batch in batches:
@@ -118,18 +133,31 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, least_literals: int
             while last < len(texts) and (last == first or size + len(texts[last]) <= SLICE_CHARS):
                 size += len(texts[last])
                 last += 1
-            h, text, at, runs, tokens, slot = template_windows(lexicon, texts[first:last], window, least_literals)
-            count = np.bincount(text, minlength=last - first)
-            if bits is not None:
-                place = h & np.uint64(TABLE_BITS - 1)
-                some = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                h, text, at = h[some], text[some], at[some]
-            surfaces = lexicon.surfaces
-            slots = [[surfaces[tokens[p]] for p in range(q, q + window) if slot[p]] for q in (runs[text] + at).tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[first + text]), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(count[text].astype(np.int32)), pa.array(slots, pa.list_(pa.string()))],
-                names=["id", "h", "at", "n", "slots"],
-            )
+            readings = template_windows(lexicon, texts[first:last], window, least_literals, least_named)
+            count = np.zeros(last - first, np.int64)
+            if bits is None:
+                readings = list(readings)
+                words = np.unique(np.concatenate([r[3][r[2]] for r in readings]))
+                count = np.bincount(np.searchsorted(readings[0][5], words, "right") - 1, minlength=last - first)
+            for h, text, at, starts, slot, runs, tokens, opener in readings:
+                if bits is not None:
+                    place = h & np.uint64(TABLE_BITS - 1)
+                    some = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    h, text, at = h[some], text[some], at[some]
+                surfaces = lexicon.surfaces
+                slots = [
+                    [
+                        {"at": int(starts[u] - runs[t]), "value": " ".join(surfaces[w] for w in tokens[starts[u] : starts[u + 1]]), "opens": bool(opener[starts[u]])}
+                        for u in range(q, q + window)
+                        if slot[u] != LITERAL
+                    ]
+                    for q, t in zip(at.tolist(), text.tolist())
+                ]
+                begins = (starts[at] - runs[text]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[first + text]), pa.array(h.view(np.int64)), pa.array(begins), pa.array(count[text].astype(np.int32)), pa.array(slots, pa.list_(_SLOT))],
+                    names=["id", "h", "at", "n", "slots"],
+                )
             first = last
 
 
@@ -143,12 +171,79 @@ def _bit_table(hashes: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def _consistent(pairs: Column) -> Column:
-    """True if the (item value, document value) pairs are one-to-one."""
-    once = F.array_distinct(pairs)
-    of_item = F.size(F.array_distinct(F.transform(once, lambda p: p["item_slots"])))
-    of_doc = F.size(F.array_distinct(F.transform(once, lambda p: p["doc_slots"])))
-    return (of_item == F.size(once)) & (of_doc == F.size(once))
+def consistent(met: list[tuple], enough) -> bool:
+    """True if item values and document values are one-to-one. A sentence's first word that is the same in both is no slot here."""
+    pairs = {(i["value"], d["value"]) for m in met for i, d in zip(m[2], m[3]) if not (i["opens"] and i["value"] == d["value"])}
+    return len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+
+
+def chains(met: list[tuple]) -> Iterator[list[tuple]]:
+    """Longest runs of windows that advance in item and document alike, where from one to the next the shift moves by DRIFT words at most.
+
+    Windows come in the document's order. Of each place of the item the last window before is the one to go on from.
+    """
+    places = sorted({m[0] for m in met})
+    number = {p: k for k, p in enumerate(places)}
+    item_at = np.array(places)
+    doc_at, length, last = np.full(len(places), -1), np.zeros(len(places), int), np.full(len(places), -1)
+    before, used, found = [], np.zeros(len(met), bool), []
+    for k, m in enumerate(met):
+        p = number[m[0]]
+        shift = (m[1] - m[0]) - (doc_at[:p] - item_at[:p])
+        near = np.flatnonzero((last[:p] >= 0) & (doc_at[:p] < m[1]) & (np.abs(shift) <= DRIFT))
+        best = int(near[length[near].argmax()]) if len(near) else -1
+        before.append(int(last[best]) if best >= 0 else -1)
+        if best >= 0:
+            used[last[best]] = True
+        doc_at[p], length[p], last[p] = m[1], 1 + (length[best] if best >= 0 else 0), k
+    for k in np.flatnonzero(~used).tolist():
+        chain = []
+        while k >= 0:
+            chain.append(met[k])
+            k = before[k]
+        yield chain
+
+
+_FOUND = "doc_id bigint, item_id bigint, matched bigint, coverage double, changed boolean"
+
+
+def _judged(batches: Iterator[pa.RecordBatch], least_coverage: float, least_run: int) -> Iterator[pa.RecordBatch]:
+    """Batches of met windows sorted by document, item and place in the document; a pair may run over several."""
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64()), ("changed", pa.bool_())])
+
+    def judge(key: tuple, rows: list[dict]) -> list[tuple]:
+        item_n = max(r["item_n"] for r in rows)
+        enough = lambda n: n >= least_coverage * item_n or n >= least_run
+        if not enough(len({r["item_at"] for r in rows})):
+            return []
+        both: dict[tuple, tuple[list, list]] = {}  # the readings of one place together
+        for r in rows:
+            item_slots, doc_slots = both.setdefault((r["doc_at"], r["item_at"]), ([], []))
+            item_slots += r["item_slots"]
+            doc_slots += r["doc_slots"]
+        met = [(item_at, doc_at, *slots) for (doc_at, item_at), slots in both.items()]
+        shifts: dict[int, list[tuple]] = {}
+        for m in met:
+            shifts.setdefault(m[1] - m[0], []).append(m)
+        best = None
+        for part in [*shifts.values(), *chains(met)]:
+            n = len({m[0] for m in part})
+            if enough(n) and (best is None or n >= best[0]) and consistent(part, enough):
+                same = all(i["value"] == d["value"] for m in part for i, d in zip(m[2], m[3]))
+                best = max(best or (0, False), (n, same))
+        return [(*key, best[0], best[0] / item_n, not best[1])] if best else []
+
+    key, held = None, []
+    for batch in batches:
+        found = []
+        for r in batch.to_pylist():
+            if (r["doc_id"], r["item_id"]) != key:
+                found += judge(key, held) if held else []
+                key, held = (r["doc_id"], r["item_id"]), []
+            held.append(r)
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t.type) for k, t in enumerate(schema)], schema=schema)
+    found = judge(key, held) if held else []
+    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t.type) for k, t in enumerate(schema)], schema=schema)
 
 
 def leaks(
@@ -156,6 +251,7 @@ def leaks(
     benchmark: DataFrame,
     window: int = 5,
     least_literals: int = 3,
+    least_named: int = 2,
     least_coverage: float = 0.5,
     least_run: int = 9,
     id_col: str = "doc_id",
@@ -168,26 +264,19 @@ def leaks(
     Along one alignment, `matched` of the item's windows occur in the document with consistent slots: at least the share
     `least_coverage` of them, or at least `least_run`. changed: a slot has another value than in the item. Rows
     whose id or text is null, and texts with fewer words than a window, match nothing, as do windows with fewer
-    than `least_literals` words that are no slots. Repeated rows and items count once. Empty tables give no rows.
+    than `least_literals` words that are no slots (`least_named` where a sentence's first word is read as a name).
+    Repeated rows and items count once. Empty tables give no rows.
     """
     spark = docs.sparkSession
 
     def source(rows: DataFrame, key: str, text: str) -> DataFrame:
         return rows.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
 
-    items = source(benchmark, item_col, item_text_col).mapInArrow(lambda b: _windows(b, window, least_literals, None), _WINDOWS)
+    items = source(benchmark, item_col, item_text_col).mapInArrow(lambda b: _windows(b, window, least_literals, least_named, None), _WINDOWS)
     items = items.select(F.col("id").alias("item_id"), "h", F.col("at").alias("item_at"), F.col("n").alias("item_n"), F.col("slots").alias("item_slots"))
     table = spark.sparkContext.broadcast(_bit_table(items.select("h")))
-    found = source(docs, id_col, text_col).mapInArrow(lambda b: _windows(b, window, least_literals, table), _WINDOWS)
+    found = source(docs, id_col, text_col).mapInArrow(lambda b: _windows(b, window, least_literals, least_named, table), _WINDOWS)
     found = found.select(F.col("id").alias("doc_id"), "h", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    met = found.join(items, "h").withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    aligned = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.countDistinct("item_at").alias("matched"),
-        F.max("item_n").alias("item_n"),
-        F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots"))).alias("pairs"),
-    )
-    enough = (F.col("matched") >= least_coverage * F.col("item_n")) | (F.col("matched") >= least_run)
-    kept = aligned.filter(enough).filter(_consistent(F.col("pairs")))
-    changed = F.exists("pairs", lambda p: p["item_slots"] != p["doc_slots"])
-    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (~changed).alias("same"), "item_n")).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.matched").alias("matched"), (F.col("best.matched") / F.col("best.item_n")).alias("coverage"), (~F.col("best.same")).alias("changed"))
+    met = found.join(items, "h").select("doc_id", "item_id", "item_at", "doc_at", "item_n", "item_slots", "doc_slots")
+    dealt = met.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "doc_at", "item_at")
+    return dealt.mapInArrow(lambda b: _judged(b, least_coverage, least_run), _FOUND)

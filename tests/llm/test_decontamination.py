@@ -41,3 +41,26 @@ def test_odd_rows(spark, odd_rows, empty):
     some = spark.createDataFrame([(1, "the same words stand here twice, once in each of these two rows of text"), (2, None), (3, "up"), (None, ITEM)], "item_id bigint, text string")
     assert leaks(odd_rows, none).count() == 0 and leaks(empty, some).count() == 0
     assert {(r.doc_id, r.item_id) for r in leaks(odd_rows, some).collect()} == {(7, 1), (8, 1)}
+
+
+def test_values_of_other_lengths_and_opening_names(spark):
+    items = [
+        "Tom has 5 apples. Sue has 3 apples. Ben has 8 apples. How many apples do they have?",
+        "In the shop Anna bought 12 apples and then Anna gave 5 apples to her brother.",
+    ]
+    texts = [
+        "Ida has 7 apples. Max has 2 apples. Eve has 9 apples. How many apples do they have?",
+        "In the shop Mary Ann bought 12 apples and then Mary Ann gave 5 apples to her brother.",
+        "In the shop Anna bought twenty five apples and then Anna gave 5 apples to her brother.",
+        "In the shop there were many people who looked at apples. Tom has 5 pears. Sue reads a book.",
+    ]
+    rows = leaks(docs(spark, *texts), bench(spark, *items)).collect()
+    assert {(r.doc_id, r.item_id, r.changed) for r in rows} == {(0, 0, True), (1, 1, True), (2, 1, True)}
+
+
+def test_parts_with_words_put_in_between(spark):
+    """Half of the windows are met only if parts on both sides of the added words count together."""
+    words = "aa bb cc dd ee ff gg hh ii jj kk ll mm nn oo pp".split()
+    text = " ".join([*words[:8], "zz", "yy", *words[8:]])
+    rows = leaks(docs(spark, text), bench(spark, " ".join(words)), least_run=99).collect()
+    assert [(r.doc_id, r.matched) for r in rows] == [(0, 8)]
