@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders; windows of the words that result are hashed and
-joined with those of the benchmark. Along one alignment of a document and an item the slots must agree:
-each value of the item always stands where the same value of the document stands, and the other way round. So a question with
+joined with those of the benchmark. Along one alignment of a document and an item most slots must agree:
+a value of the item always stands where the same value of the document stands. So a question with
 other numbers and names is caught, and a chance mixture isn't.
 
 Documents' windows are first held against a bit table of fixed size made of the benchmark's hashes, so
@@ -12,6 +12,7 @@ only what may match enters the join.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ UNITS = frozenset(
 LITERAL, NUMBER, CAPITAL, UNIT = 0, 1, 2, 3
 #: Bits of the table that documents' windows are held against: 2 MB, whatever the benchmark's size.
 TABLE_BITS = 1 << 24
-#: By how many words the shift of an alignment may move from one window to the next.
-DRIFT = 8
+#: The share of slots that must follow one map; by how many words the shift of an alignment may move from one window to the next.
+AGREEING, DRIFT = 0.75, 8
 MOST_HELD, SLICE_CHARS = 1_000_000, 4_000_000
 
 
@@ -172,9 +173,25 @@ def _bit_table(hashes: DataFrame) -> bytes:
 
 
 def consistent(met: list[tuple], enough) -> bool:
-    """True if item values and document values are one-to-one. A sentence's first word that is the same in both is no slot here."""
-    pairs = {(i["value"], d["value"]) for m in met for i, d in zip(m[2], m[3]) if not (i["opens"] and i["value"] == d["value"])}
-    return len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+    """True if the slots of matched windows agree.
+
+    Most of the slots, a share of AGREEING, must follow one map from item values to document values; several item values may
+    have the same document value. Else windows whose slots are all equal must be enough by themselves, and such a share of
+    all. A sentence's first word that is the same in both is no slot here.
+    """
+    slots = {}
+    equal = set()
+    for item_at, _, item_slots, doc_slots in met:
+        pairs = [(i["at"], i["value"], d["value"]) for i, d in zip(item_slots, doc_slots) if not (i["opens"] and i["value"] == d["value"])]
+        slots.update({at: (x, y) for at, x, y in pairs})
+        if all(x == y for _, x, y in pairs):
+            equal.add(item_at)
+    most: dict[str, int] = {}
+    for (x, _), k in Counter(slots.values()).items():
+        most[x] = max(k, most.get(x, 0))
+    if sum(most.values()) >= AGREEING * len(slots):
+        return True
+    return enough(len(equal)) and len(equal) >= AGREEING * len({m[0] for m in met})
 
 
 def chains(met: list[tuple]) -> Iterator[list[tuple]]:

@@ -43,6 +43,13 @@ def test_odd_rows(spark, odd_rows, empty):
     assert {(r.doc_id, r.item_id) for r in leaks(odd_rows, some).collect()} == {(7, 1), (8, 1)}
 
 
+def test_one_slot_that_disagrees(spark):
+    """One of two equal numbers changed, and two numbers with one new value."""
+    one, two, both = ITEM.replace("the 12 that", "the 13 that"), ITEM.replace("7 pears", "5 pears"), ITEM.replace("7", "4").replace("5", "4")
+    rows = leaks(docs(spark, one, two, both), bench(spark, ITEM)).collect()
+    assert {r.doc_id: r.changed for r in rows} == {0: True, 1: True, 2: True}
+
+
 def test_values_of_other_lengths_and_opening_names(spark):
     items = [
         "Tom has 5 apples. Sue has 3 apples. Ben has 8 apples. How many apples do they have?",
