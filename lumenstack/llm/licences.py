@@ -38,6 +38,14 @@ SENTENCES = {
     "spdx license identifier gpl 2 0 or later": "gpl-2-later-tag",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3-later-grant",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2-later-grant",
+    # The same grants and the notice of MPL as their marks cut them.
+    "this program is free software": "free-software",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3-later-grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2-later-grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-grant",
+    "either version 3 of the license or at your option any later version": "version-3-or-later",
+    "either version 2 of the license or at your option any later version": "version-2-or-later",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-2-notice",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-no-warranty",
     "see the gnu general public license for more details": "gpl-details",
     "licensed under the gnu lesser general public license version 3": "lgpl-3-ref",
@@ -85,8 +93,10 @@ RULES = (
     Rule("Apache-2.0", ("apache-2-tag",)),
     Rule("GPL-3.0-or-later", ("gpl-3-later-grant", "gpl-no-warranty", "gpl-details")),
     Rule("GPL-3.0-or-later", ("gpl-3-later-grant",)),
+    Rule("GPL-3.0-or-later", ("gpl-grant", "version-3-or-later")),
     Rule("GPL-3.0-or-later", ("gpl-3-later-tag",)),
     Rule("GPL-2.0-or-later", ("gpl-2-later-grant",)),
+    Rule("GPL-2.0-or-later", ("gpl-grant", "version-2-or-later")),
     Rule("GPL-2.0-or-later", ("gpl-2-later-tag",)),
     Rule("GPL-3.0-only", ("gpl-3-ref",)),
     Rule("GPL-3.0-only", ("gpl-3-tag",)),

@@ -42,3 +42,22 @@ def test_rules_and_sentences_agree():
 def test_odd_rows(odd_rows, empty):
     assert [(r.doc_id, r.licences) for r in scan(odd_rows).collect()] == [(10, ["MIT"])]
     assert scan(empty).count() == 0
+
+
+def test_published_grants_that_hold_marks(spark):
+    gpl_2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+"""
+    gpl_3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+    found = names(spark, gpl_2, gpl_3, mpl, gpl_2.replace("version 2", "version 3"))
+    assert found == {0: ["GPL-2.0-or-later"], 1: ["GPL-3.0-or-later"], 2: ["MPL-2.0"], 3: ["GPL-3.0-or-later"]}
