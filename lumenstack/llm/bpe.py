@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-The distinct words of a stretch of documents travel as rows of their own, ahead of the documents that
-hold them. A fold over each word's bytes merges its adjacent pair of least rank, again and again; pairs
-are found in a literal rank map. Decoding concatenates the binary pieces of the ids. The documents that
-follow are put together from their words' results. Nothing is shuffled; what a task holds is bounded.
+Distinct words travel as rows of their own, ahead of the documents that hold them, which name their words by number. A
+fold over a word's bytes merges the adjacent pair of least rank, again and again; pairs are found in a literal rank map.
+Decoding concatenates the binary pieces of the ids. Words of a bounded sample of the documents are folded once for all
+tasks, all others once a task; what a task holds is bounded and nothing is shuffled but the sample's words.
 """
 
 from __future__ import annotations
@@ -17,20 +17,24 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A run of white space with what follows it up to the next one. No piece of the pattern crosses the start of such a
 #: run, so a text's pieces are those of its stretches. Python counts 1C to 1F as white space, the pattern doesn't.
 STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
-#: Distinct stretches after which a task begins afresh, and the bytes of the longest word that is folded (the fold's work
-#: grows with the square of the length; longer ones are merged with a heap).
-MOST_HELD, LONGEST_FOLDED = 300_000, 64
-WORD, DOCUMENT, RESET = 0, 1, 2
-TASK_BYTES = 48_000_000
-#: A pair of ids is one number, as are a rank and an id: the left one above the lower ID_BITS.
-ID_BITS, INDEX_BITS = 20, 6
-NO_RANK = 1 << 40
+#: Stretches that a task remembers, words after which it begins a new generation, and the bytes of the longest word that
+#: is folded (the fold's work grows with the square of the length; longer ones are merged with a heap).
+MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 350_000, 350_000, 255
+#: Text of a task, text of the sample whose words all tasks share, and the longest text of that sample.
+TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 64_000_000, 1 << 20
+#: References that are put together at once.
+AT_ONCE = 2_000_000
+#: A cell of the fold holds the rank of the pair that begins at a symbol, the symbol's place in the word, and its id.
+ID_BITS, PLACE_BITS = 20, 8
+NO_RANK = 1 << ID_BITS
+WORD, DOCUMENT = 0, 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,26 +57,29 @@ class Vocabulary:
     """Ranks and pattern, and their literals for Spark expressions."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        if not set(bytes([b]) for b in range(256)) <= ranks.keys() or max(ranks.values()) >= 1 << ID_BITS:
+        if not set(bytes([b]) for b in range(256)) <= ranks.keys() or max(ranks.values()) >= NO_RANK:
             raise ValueError(f"every byte needs a token, and ranks must be below 2^{ID_BITS}")
         self.ranks, self.pattern = ranks, pattern
         pairs = pair_ranks(ranks)
         self.slots = 1 << max(8, len(pairs).bit_length())
         slots: list[dict[str, int]] = [{} for _ in range(self.slots)]
         for (left, right), rank in pairs.items():
-            slots[self._slot(left, right)][str(left << ID_BITS | right)] = rank << ID_BITS | left
+            slots[self._slot(left, right)][str(left << ID_BITS | right)] = rank
         self._rank_map = json.dumps(slots, separators=(",", ":"))
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
         self._pieces = ",".join(pieces)
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pairs = np.array([pairs.get((a, b), NO_RANK) for a in self.byte_ids.tolist() for b in self.byte_ids.tolist()], np.int64)
+        #: tokens that their own bytes do not fold to; as words they are one id all the same
+        self.whole = {token.hex().upper(): rank for token, rank in ranks.items() if merged_by_heap(token, ranks) != [rank]}
 
     def _slot(self, left: int, right: int) -> int:
         return (left * 40503 + right) & (self.slots - 1)
 
     def rank_map(self) -> Column:
-        """array<map<string,bigint>>: in the slot of a pair, pairs to their cells. A constant, folded before the job runs.
+        """array<map<string,bigint>>: in the slot of a pair, pairs to the ranks of what they make. A constant, folded before the job runs.
 
         Spark looks maps up from end to end, so one map of all pairs is dealt into many small ones.
         """
@@ -82,46 +89,53 @@ class Vocabulary:
         """The tokens by id, in hexadecimal."""
         return F.split(F.lit(self._pieces), ",")
 
+    def cells(self, words: list[bytes]) -> pa.ListArray:
+        """The fold's first cells of each word: its bytes' ids, their places, and the ranks of the pairs they begin."""
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        place = np.arange(len(flat)) - np.repeat(ends[:-1].astype(np.int64), np.diff(ends))
+        rank = np.full(len(flat), NO_RANK, np.int64)
+        rank[:-1] = self.byte_pairs[flat[:-1] << 8 | flat[1:]]
+        rank[ends[1:][np.diff(ends) > 0] - 1] = NO_RANK
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(rank << ID_BITS + PLACE_BITS | place << ID_BITS | self.byte_ids[flat]))
+
 
 def _let(value: Column, body) -> Column:
     """body(value), with the value computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def encoded(symbols: Column, vocabulary: Vocabulary) -> Column:
-    """array<bigint>, the ids of a word, given as the array<bigint> of its bytes' ids, of which there is one at least.
-
-    The fold's state is an array of cells, the rank of the pair that begins at a symbol above the symbol's id.
-    """
-    mask = F.lit((1 << ID_BITS) - 1)
+def encoded(word: Column, cells: Column, vocabulary: Vocabulary) -> Column:
+    """array<bigint>, the ids of a word, given with its first cells, of which there is one at least."""
+    mask, place = F.lit((1 << ID_BITS) - 1), F.lit((1 << PLACE_BITS) - 1 << ID_BITS)
+    lone = F.lit(NO_RANK << ID_BITS + PLACE_BITS)  # cells from here on begin no pair
 
     def fold(table: Column) -> Column:
-        def cell(left: Column, right: Column) -> Column:
+        def cell(left: Column, right: Column, at: Column) -> Column:
             slot = F.get(table, (left * 40503 + right).bitwiseAND(F.lit(vocabulary.slots - 1)).cast("int"))
-            found = F.element_at(slot, F.shiftleft(left, ID_BITS).bitwiseOR(right).cast("string"))
-            return F.coalesce(found, F.lit(NO_RANK).bitwiseOR(left))
-
-        def merge(cells: Column, packed: Column) -> Column:
-            def at(k: Column) -> Column:
-                joined = F.shiftright(packed, INDEX_BITS + ID_BITS)
-                before = F.get(cells, k - 2).bitwiseAND(mask)
-                after = F.get(cells, k + 1).bitwiseAND(mask)
-                new = F.coalesce(cell(joined, after), F.lit(NO_RANK).bitwiseOR(joined))
-                rest = F.slice(cells, k + 2, F.size(cells))
-                first = F.concat(F.array(new), rest)
-                return F.when(k == 1, first).otherwise(F.concat(F.slice(cells, F.lit(1), k - 2), F.array(cell(before, joined), new), rest))
-
-            return F.when(packed < NO_RANK << INDEX_BITS, _let((packed.bitwiseAND(F.lit((1 << INDEX_BITS) - 1)) + 1).cast("int"), at)).otherwise(cells)
-
-        def least(cells: Column) -> Column:
-            """The least cell above its index: the first pair of least rank."""
-            return F.array_min(F.transform(cells, lambda c, i: F.shiftleft(c, INDEX_BITS).bitwiseOR(i.cast("bigint"))))
-
-        start = F.transform(symbols, lambda x, i: F.coalesce(cell(x, F.get(symbols, i + 1)), F.lit(NO_RANK).bitwiseOR(x)))
-        merged = F.aggregate(F.array_repeat(F.lit(0), F.size(symbols) - 1), start, lambda cells, _: _let(least(cells), lambda packed: merge(cells, packed)))
+            rank = F.element_at(slot, F.shiftleft(left, ID_BITS).bitwiseOR(right).cast("string"))
+            return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)), ID_BITS + PLACE_BITS).bitwiseOR(at).bitwiseOR(left)
+
+        def merge(now: Column, least: Column) -> Column:
+            def at(k: Column) -> Column:  # the pair is at k and k + 1, counted from 1
+                joined = F.shiftright(least, ID_BITS + PLACE_BITS)  # the id of a token is its rank
+                before = F.get(now, k - 2)
+                new = cell(joined, F.get(now, k + 1).bitwiseAND(mask), least.bitwiseAND(place))
+                rest = F.slice(now, k + 2, F.size(now))
+                first = F.flatten(F.array(F.array(new), rest))
+                pair = F.array(cell(before.bitwiseAND(mask), joined, before.bitwiseAND(place)), new)
+                return F.when(k == 1, first).otherwise(F.flatten(F.array(F.slice(now, F.lit(1), k - 2), pair, rest)))
+
+            return F.when(least < lone, _let(F.array_position(now, least).cast("int"), at)).otherwise(now)
+
+        merged = F.aggregate(F.array_repeat(F.lit(0), F.size(cells) - 1), cells, lambda now, _: _let(F.array_min(now), lambda least: merge(now, least)))
         return F.transform(merged, lambda x: x.bitwiseAND(mask))
 
-    return _let(vocabulary.rank_map(), fold)
+    folded = _let(vocabulary.rank_map(), fold)
+    if vocabulary.whole:
+        whole = F.element_at(F.from_json(F.lit(json.dumps(vocabulary.whole)), "map<string,bigint>"), F.hex(word))
+        folded = F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
+    return folded
 
 
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -154,106 +168,190 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : stop[i]]] for i in range(n) if not gone[i]]
 
 
-_ROWS = "kind int, doc_id bigint, body binary, symbols array<bigint>"
+_ROWS = "kind int, generation int, number bigint, word binary, cells array<bigint>, merged array<bigint>, refs binary"
+
 
+def _rows(kind: int, generation: int, numbers, words: list[bytes] | None = None, refs: list[bytes] | None = None, vocabulary: Vocabulary | None = None) -> pa.RecordBatch:
+    """Words by their number with their first cells, or their ids if they are too long for the fold; or documents by doc_id."""
+    n = len(numbers)
+    if words is None:
+        cells = merged = pa.nulls(n, pa.list_(pa.int64()))
+    else:
+        long = [w if len(w) > LONGEST_FOLDED else None for w in words]
+        cells = vocabulary.cells([b"" if w else words[k] for k, w in enumerate(long)])
+        merged = pa.array([merged_by_heap(w, vocabulary.ranks) if w else None for w in long], pa.list_(pa.int64()))
+    columns = [pa.array([kind] * n, pa.int32()), pa.array([generation] * n, pa.int32()), numbers, pa.array(words or [None] * n, pa.binary()), cells, merged, pa.array(refs or [None] * n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "generation", "number", "word", "cells", "merged", "refs"])
 
-def _with_words(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Documents as they come, each batch after the words it is the first to need."""
-    ranks, pattern = shared.value
-    pieces = regex.compile(pattern).findall
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    stretches: set[str] = set()
+
+def _word_rows(words: list[str], first: int, generation: int, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(words), 10_000):
+        part = [w.encode() for w in words[k : k + 10_000]]
+        yield _rows(WORD, generation, pa.array(range(first + k, first + k + len(part)), pa.int64()), words=part, vocabulary=vocabulary)
+
+
+def _sample_words(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Distinct words of a task's sampled texts."""
+    pieces = regex.compile(shared.value.pattern).findall
     words: set[str] = set()
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            words.update(pieces(text))
+    yield pa.RecordBatch.from_arrays([pa.array([w for w in words if len(w.encode()) <= LONGEST_FOLDED], pa.string())], names=["word"])
+
+
+def _cells_of(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        yield from _word_rows(words, 0, 0, shared.value)
+
+
+def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[pa.RecordBatch]:
+    """Documents as they come, as the numbers of their words, each batch after the words it is the first to need.
+
+    Common words have the first numbers; a generation numbers its own words after them.
+    """
+    vocabulary, known = shared.value, common.value
+    pieces = regex.compile(vocabulary.pattern).findall
+    own: dict[str, int] = {}
+    refs_of: dict[str, bytes] = {}
+    generation = 0
     for batch in batches:
         for first in range(0, len(batch), 500):
             ids = batch.column("doc_id").slice(first, 500)
-            texts = batch.column("text").slice(first, 500).fill_null("").to_numpy(zero_copy_only=False)
-            if len(stretches) > MOST_HELD:
-                stretches, words = set(), set()
-                yield _rows([RESET], [None], [None], byte_ids)
-            unseen = set().union(*map(STRETCH.findall, texts)) - stretches
-            stretches |= unseen
-            fresh = set().union(*map(pieces, unseen)) - words
-            words |= fresh
-            bodies = [w for w in (x.encode() for x in fresh) if w not in ranks and len(w) <= LONGEST_FOLDED]
-            for k in range(0, len(bodies), 10_000):
-                part = bodies[k : k + 10_000]
-                yield _rows([WORD] * len(part), [None] * len(part), part, byte_ids)
-            yield _rows([DOCUMENT] * len(texts), ids, [t.encode() for t in texts], byte_ids)
-
-
-def _rows(kinds, ids, bodies, byte_ids: np.ndarray) -> pa.RecordBatch:
-    """The symbols of words are their bytes, as ids; other rows have none."""
-    words = bodies if kinds[0] == WORD else []
-    ends = np.cumsum([0, *map(len, words)], dtype=np.int32) if words else np.zeros(len(kinds) + 1, np.int32)
-    symbols = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()) if isinstance(ids, list) else ids, pa.array(bodies, pa.binary()), symbols], names=["kind", "doc_id", "body", "symbols"])
-
-
-def _assembled(batches: Iterator[pa.RecordBatch], shared, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """Documents as the concatenation of their words' ids and bytes; a stretch met before is not taken apart again."""
-    ranks, pattern = shared.value
-    pieces = regex.compile(pattern).findall
-    # apart, ids and bytes by word and by stretch: plain values in dictionaries give the garbage collector nothing to walk
-    word_ids: dict[str, str] = {}
-    word_bytes: dict[str, bytes] = {}
-    ids_of: dict[str, str] = {}
-    bytes_of: dict[str, bytes] = {}
-    by_id = {rank: token for token, rank in ranks.items()}
-
-    def known(stretch: str) -> None:
-        parts = pieces(stretch)
-        for word in parts:
-            if word not in word_ids:  # a token itself, or too long for the fold
-                body = word.encode()
-                ids = [ranks[body]] if body in ranks else merged_by_heap(body, ranks)
-                word_ids[word], word_bytes[word] = ",".join(map(str, ids)), b"".join([by_id[i] for i in ids])
-        ids_of[stretch] = ",".join(map(word_ids.__getitem__, parts))
-        bytes_of[stretch] = b"".join(map(word_bytes.__getitem__, parts))
-
+            texts = batch.column("text").slice(first, 500).fill_null("").to_pylist()
+            if len(own) > MOST_WORDS:
+                own, refs_of, generation = {}, {}, generation + 1
+            elif len(refs_of) > MOST_HELD:
+                refs_of = {}
+            held, bodies = len(own), []
+            for text in texts:
+                stretches = STRETCH.findall(text)
+                for s in set(stretches).difference(refs_of):
+                    numbers = []
+                    for w in pieces(s):
+                        number = known.get(w)
+                        if number is None:
+                            number = own.setdefault(w, len(own)) + len(known)
+                        numbers.append(number)
+                    refs_of[s] = np.array(numbers, np.int32).tobytes() if len(numbers) > 1 else numbers[0].to_bytes(4, "little")
+                bodies.append(b"".join(map(refs_of.__getitem__, stretches)))
+            fresh = list(own)[held:] if len(own) > held else []
+            yield from _word_rows(fresh, len(known) + held, generation, vocabulary)
+            yield _rows(DOCUMENT, generation, ids, refs=bodies)
+
+
+class _Words:
+    """What the words of a generation are: their ids, the ids' text with a comma after each, and their bytes."""
+
+    def __init__(self, common: pa.Table):
+        self.parts = [[self._text(common.column("ids").combine_chunks())], [common.column("ids").combine_chunks()], [common.column("decoded").combine_chunks().cast(pa.large_binary())]]
+        self.known = len(common)
+        self.clear()
+
+    @staticmethod
+    def _text(ids: pa.ListArray) -> pa.Array:
+        words = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pc.cast(ids.values, pa.string())), ",")
+        return pc.binary_join_element_wise(words, "", ",").cast(pa.large_binary())
+
+    def clear(self) -> None:
+        self.held = [part[:1] for part in self.parts]
+        self.n = self.known
+
+    def add(self, numbers: np.ndarray, ids: pa.ListArray, plain: pa.Array) -> None:
+        if (numbers != np.arange(self.n, self.n + len(numbers))).any() or ids.null_count or plain.null_count:
+            raise ValueError("words came out of turn or without ids")
+        ids = pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy() - ids.offsets[0].as_py()), ids.flatten().cast(pa.int32()))
+        for held, new in zip(self.held, (self._text(ids), ids, plain.cast(pa.large_binary()))):
+            held.append(new)
+        self.n += len(numbers)
+
+    def joined(self) -> list[pa.Array]:
+        self.held = [[pa.concat_arrays(part)] if len(part) > 1 else part for part in self.held]
+        return [part[0] for part in self.held]
+
+
+def _taken(values: pa.Array, refs: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """(bytes, ends) of the values at refs, one after the other."""
+    found = values.take(refs)
+    ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+    return memoryview(found.buffers()[2] or b""), ends
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], common, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Documents as the concatenation of their words' ids and bytes."""
+    words, generation = _Words(common.value), 0
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        ids = batch.column("doc_id").to_pylist() if (kind == DOCUMENT).any() else None
-        bodies, coded, plain = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("body", "ids", "decoded"))
-        out: list[list] = [[], [], [], [], []]
-        for part in np.split(np.arange(len(batch)), np.flatnonzero(kind == RESET)):  # words come before the documents that need them
-            if len(part) and kind[part[0]] == RESET:
-                for held in (word_ids, word_bytes, ids_of, bytes_of):
-                    held.clear()
-            rows = part[kind[part] == WORD]
-            words = [body.decode() for body in bodies[rows]]
-            word_ids.update(zip(words, coded[rows]))
-            word_bytes.update(zip(words, plain[rows]))
-            for r in part[kind[part] == DOCUMENT].tolist():
-                text = STRETCH.findall(bodies[r].decode())
-                for s in set(text).difference(ids_of):
-                    known(s)
-                joined = ",".join(map(ids_of.__getitem__, text))
-                out[0].append(ids[r])
-                out[1].append(joined.count(",") + 1 if joined else 0)
-                out[2].append(hashlib.sha256(joined.encode()).hexdigest())
-                out[3].append(hashlib.sha256(b"".join(map(bytes_of.__getitem__, text))).hexdigest())
-                out[4].append([int(x) for x in joined.split(",")] if with_ids and joined else [])
-        if out[0]:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
+        kind, age = batch.column("kind").to_numpy(), batch.column("generation").to_numpy()
+        for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(age)) + 1):  # words come before the documents that need them
+            if not len(part):
+                continue
+            if age[part[0]] != generation:
+                words.clear()
+                generation = age[part[0]]
+            rows = batch.take(pa.array(part[kind[part] == WORD]))
+            if len(rows):
+                words.add(rows.column("number").to_numpy(), rows.column("ids"), rows.column("decoded"))
+            rows = batch.take(pa.array(part[kind[part] == DOCUMENT]))
+            bodies = rows.column("refs").to_pylist()
+            sizes = np.cumsum([0, *(len(b) // 4 for b in bodies)])
+            first = 0
+            while first < len(bodies):
+                last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + AT_ONCE, "right")) - 1)
+                yield _put_together(rows.column("number").slice(first, last - first), bodies[first:last], words, with_ids)
+                first = last
+
+
+def _put_together(doc_ids: pa.Array, bodies: list[bytes], words: _Words, with_ids: bool) -> pa.RecordBatch:
+    texts, ids, plain = words.joined()
+    at = np.cumsum([0, *(len(b) // 4 for b in bodies)])
+    refs = np.frombuffer(b"".join(bodies), np.int32)
+    if len(refs) and refs.max() >= words.n:
+        raise ValueError("a document names a word that did not come")
+    refs = pa.array(refs)
+    text, text_ends = _taken(texts, refs)
+    bytes_, byte_ends = _taken(plain, refs)
+    counts = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).take(refs).to_numpy())]).astype(np.int64)[at]
+    digests = [[hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(text_ends[at[:-1]].tolist(), text_ends[at[1:]].tolist())]]
+    digests.append([hashlib.sha256(bytes_[a:b]).hexdigest() for a, b in zip(byte_ends[at[:-1]].tolist(), byte_ends[at[1:]].tolist())])
+    columns = [doc_ids, pa.array(np.diff(counts)), *(pa.array(d, pa.string()) for d in digests)]
+    if with_ids:
+        columns.append(pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), ids.take(refs).flatten()))
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+
+def _folded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Rows of _ROWS with the ids and the decoded bytes of words."""
+    ids = F.coalesce(F.col("merged"), encoded(F.col("word"), F.col("cells"), vocabulary)).cast("array<int>")
+    return rows.withColumn("ids", F.when(F.col("kind") == WORD, ids)).withColumn("decoded", F.when(F.col("kind") == WORD, decoded(F.col("ids"), vocabulary)))
+
+
+def common_words(docs: DataFrame, shared, total: int) -> pa.Table:
+    """word, ids and decoded of the distinct words of about COMMON_BYTES of the texts, chosen by a hash of them."""
+    share = min(1.0, COMMON_BYTES / max(1, total))
+    chosen = docs.filter((F.octet_length("text") <= LONGEST_SAMPLED) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    words = chosen.select("text").mapInArrow(lambda batches: _sample_words(batches, shared), "word string").distinct()
+    rows = words.mapInArrow(lambda batches: _cells_of(batches, shared), _ROWS)
+    return _folded(rows, shared.value).select("word", "ids", "decoded").toArrow().combine_chunks()
 
 
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
     bytes decoded from the ids), and the ids themselves if asked for.
 
-    Null texts are empty: no tokens, the digests of nothing. Null ids stay null; repeated rows give a row each. Empty
-    tables give an empty result. Special tokens are not known: their strings are ordinary text.
+    Null texts are empty: no tokens, the digests of nothing. Null ids stay null, ids that are no numbers are an error;
+    repeated rows give a row each. Empty tables give an empty result. Other columns are not read. Special tokens are not
+    known: their strings are ordinary text.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern))  # bounded by the vocabulary
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(vocabulary)  # bounded by the vocabulary
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    total = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    known = common_words(source, shared, total)  # bounded by the sample's bytes
+    numbers = context.broadcast({w.decode(): k for k, w in enumerate(known.column("word").to_pylist())})
+    values = context.broadcast(known.select(["ids", "decoded"]))
     # the more text a task has, the rarer its new words: a stretch of documents of TASK_BYTES each
-    tasks = (docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0) // TASK_BYTES + 1
-    rows = source.coalesce(tasks).mapInArrow(lambda batches: _with_words(batches, shared), _ROWS)
-    rows = rows.withColumn("ids", F.when(F.col("kind") == WORD, encoded(F.col("symbols"), vocabulary)))
-    rows = rows.drop("symbols").withColumn("decoded", F.when(F.col("kind") == WORD, decoded(F.col("ids"), vocabulary)))
-    rows = rows.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+    rows = source.coalesce(total // TASK_BYTES + 1).mapInArrow(lambda batches: _with_words(batches, shared, numbers), _ROWS)
+    rows = _folded(rows, vocabulary).select("kind", "generation", "number", "refs", "ids", "decoded")
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(lambda batches: _assembled(batches, shared, with_ids), fields)
+    return rows.mapInArrow(lambda batches: _assembled(batches, values, with_ids), fields)

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -41,24 +43,60 @@ def test_odd_rows(odd_rows, empty, vocabulary):
     assert bpe.encode_decode(empty, vocabulary).count() == 0
 
 
-def test_dictionary_is_emptied(documents, vocabulary, monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_HELD", 300)
-    shared = type("Shared", (), {"value": (RANKS, public_tokenizers.PATTERN)})
+@pytest.mark.parametrize("bound", ["MOST_HELD", "MOST_WORDS"])
+def test_dictionaries_are_emptied(documents, vocabulary, monkeypatch, bound):
+    monkeypatch.setattr(bpe, bound, 300)
+    shared, known = (type("Shared", (), {"value": v}) for v in (vocabulary, {" the": 0}))
     table = documents.select("doc_id", "text").toArrow().to_batches()[0]
-    kinds = [k for b in bpe._with_words(iter([table]), shared) for k in b.column("kind").to_pylist()]
-    assert kinds.count(bpe.DOCUMENT) == len(table)
+    rows = [r for b in bpe._with_words(iter([table]), shared, known) for r in b.to_pylist()]
+    assert [r["kind"] for r in rows].count(bpe.DOCUMENT) == len(table)
+    assert (len({r["generation"] for r in rows}) > 1) == (bound == "MOST_WORDS")
+    words, texts = {}, dict(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()))
+    for r in rows:
+        if r["kind"] == bpe.WORD:
+            words[r["generation"], r["number"]] = r["word"]
+        else:
+            numbers = [int.from_bytes(r["refs"][k : k + 4], "little") for k in range(0, len(r["refs"]), 4)]
+            assert b"".join(b" the" if k == 0 else words[r["generation"], k] for k in numbers) == (texts[r["number"]] or "").encode()
+
+
+def test_lost_words_are_seen(spark, vocabulary):
+    ids = spark.createDataFrame([(b"a", [1], b"a")], "word binary, ids array<int>, decoded binary").toArrow()
+    words = bpe._Words(ids)
+    with pytest.raises(ValueError):
+        words.add(np.array([2]), pa.array([[5]], pa.list_(pa.int32())), pa.array([b"x"]))
+    with pytest.raises(ValueError):
+        bpe._put_together(pa.array([1]), [np.array([0, 1], np.int32).tobytes()], words, True)
+
+
+def test_generations_give_the_same_ids(documents, odd_rows, vocabulary, monkeypatch):
+    """Words folded in a task of their own, for all tasks or one by one: few common words, small generations and parts."""
+    monkeypatch.setattr(bpe, "COMMON_BYTES", 2000)
+    rows = bpe.encode_decode(odd_rows.unionByName(documents, allowMissingColumns=True), vocabulary, with_ids=True)
+    texts = {r.doc_id: r.text for r in documents.collect()} | {r.doc_id: r.text for r in odd_rows.collect()}
+    check([r for r in rows.collect() if r.doc_id is None or r.doc_id > 10], texts)
 
 
 def test_fold_and_heap_on_any_word(spark, vocabulary):
     rng = random.Random(3)
-    words = ["".join(rng.choice(["a", "th", "ing", "é", "漢", "zq", "́"]) for _ in range(rng.randint(1, 14))) for _ in range(150)]
-    by_byte = [RANKS[bytes([b])] for b in range(256)]
-    rows = spark.createDataFrame([(w, [by_byte[b] for b in w.encode()]) for w in words], "w string, symbols array<bigint>")
-    for r in rows.withColumn("ids", bpe.encoded(F.col("symbols"), vocabulary)).withColumn("back", bpe.decoded(F.col("ids"), vocabulary)).collect():
-        whole = EXACT._core_bpe.encode_single_piece(r.w.encode())
-        assert (r.ids if r.w.encode() not in RANKS else whole) == whole
+    words = ["".join(rng.choice(["a", "th", "ing", "é", "漢", "zq", "́"]) for _ in range(rng.randint(1, 14))) for _ in range(150)] + ["ab" * 120]
+    rows = spark.createDataFrame([(w, c) for w, c in zip(words, vocabulary.cells([w.encode() for w in words]).to_pylist())], "w string, cells array<bigint>")
+    ids = bpe.encoded(F.col("w").cast("binary"), F.col("cells"), vocabulary)
+    for r in rows.withColumn("ids", ids).withColumn("back", bpe.decoded(F.col("ids"), vocabulary)).collect():
+        whole = [RANKS[r.w.encode()]] if r.w.encode() in RANKS else EXACT._core_bpe.encode_single_piece(r.w.encode())
+        assert r.ids == whole
         assert bytes(r.back) == r.w.encode()
-        assert (bpe.merged_by_heap(r.w.encode(), RANKS) if r.w.encode() not in RANKS else whole) == whole
+        assert bpe.merged_by_heap(r.w.encode(), RANKS) == whole
+
+
+def test_tokens_that_do_not_fold_to_themselves(spark):
+    """A token whose merges are not in the vocabulary is one id as a word, and its merges inside longer words."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"xyz": 257}
+    vocabulary = bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+    exact = tiktoken.Encoding("few", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["xyz", "xyz xyzab", "abxyz ab"]
+    rows = bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), vocabulary, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == {k: exact.encode_ordinary(t) for k, t in enumerate(texts)}
 
 
 def test_stretches_keep_pieces_whole():
