@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -28,7 +29,7 @@ STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
 #: is folded (the fold's work grows with the square of the length; longer ones are merged with a heap).
 MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 350_000, 350_000, 255
 #: Text of a task, text of the sample whose words all tasks share, and the longest text of that sample.
-TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 64_000_000, 1 << 20
+TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 40_000_000, 1 << 20
 #: References that are put together at once.
 AT_ONCE = 2_000_000
 #: A cell of the fold holds the rank of the pair that begins at a symbol, the symbol's place in the word, and its id.
@@ -61,7 +62,7 @@ class Vocabulary:
             raise ValueError(f"every byte needs a token, and ranks must be below 2^{ID_BITS}")
         self.ranks, self.pattern = ranks, pattern
         pairs = pair_ranks(ranks)
-        self.slots = 1 << max(8, len(pairs).bit_length())
+        self.slots = 1 << max(8, len(pairs).bit_length() - 2)
         slots: list[dict[str, int]] = [{} for _ in range(self.slots)]
         for (left, right), rank in pairs.items():
             slots[self._slot(left, right)][str(left << ID_BITS | right)] = rank
@@ -211,7 +212,7 @@ def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[p
 
     Common words have the first numbers; a generation numbers its own words after them.
     """
-    vocabulary, known = shared.value, common.value
+    vocabulary, known = shared.value, common.value.numbers
     pieces = regex.compile(vocabulary.pattern).findall
     own: dict[str, int] = {}
     refs_of: dict[str, bytes] = {}
@@ -241,6 +242,20 @@ def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[p
             yield _rows(DOCUMENT, generation, ids, refs=bodies)
 
 
+class CommonWords:
+    """The words that all tasks know, as a table (word, ids, decoded) that travels without its index."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __reduce__(self):
+        return CommonWords, (self.table,)
+
+    @cached_property
+    def numbers(self) -> dict[str, int]:
+        return {w.decode(): k for k, w in enumerate(self.table.column("word").to_pylist())}
+
+
 class _Words:
     """What the words of a generation are: their ids, the ids' text with a comma after each, and their bytes."""
 
@@ -280,7 +295,7 @@ def _taken(values: pa.Array, refs: pa.Array) -> tuple[memoryview, np.ndarray]:
 
 def _assembled(batches: Iterator[pa.RecordBatch], common, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Documents as the concatenation of their words' ids and bytes."""
-    words, generation = _Words(common.value), 0
+    words, generation = _Words(common.value.table), 0
     for batch in batches:
         kind, age = batch.column("kind").to_numpy(), batch.column("generation").to_numpy()
         for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(age)) + 1):  # words come before the documents that need them
@@ -347,11 +362,9 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     shared = context.broadcast(vocabulary)  # bounded by the vocabulary
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     total = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    known = common_words(source, shared, total)  # bounded by the sample's bytes
-    numbers = context.broadcast({w.decode(): k for k, w in enumerate(known.column("word").to_pylist())})
-    values = context.broadcast(known.select(["ids", "decoded"]))
+    common = context.broadcast(CommonWords(common_words(source, shared, total)))  # bounded by the sample's bytes
     # the more text a task has, the rarer its new words: a stretch of documents of TASK_BYTES each
-    rows = source.coalesce(total // TASK_BYTES + 1).mapInArrow(lambda batches: _with_words(batches, shared, numbers), _ROWS)
+    rows = source.coalesce(total // TASK_BYTES + 1).mapInArrow(lambda batches: _with_words(batches, shared, common), _ROWS)
     rows = _folded(rows, vocabulary).select("kind", "generation", "number", "refs", "ids", "decoded")
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(lambda batches: _assembled(batches, values, with_ids), fields)
+    return rows.mapInArrow(lambda batches: _assembled(batches, common, with_ids), fields)

@@ -46,7 +46,8 @@ def test_odd_rows(odd_rows, empty, vocabulary):
 @pytest.mark.parametrize("bound", ["MOST_HELD", "MOST_WORDS"])
 def test_dictionaries_are_emptied(documents, vocabulary, monkeypatch, bound):
     monkeypatch.setattr(bpe, bound, 300)
-    shared, known = (type("Shared", (), {"value": v}) for v in (vocabulary, {" the": 0}))
+    common = bpe.CommonWords(pa.table({"word": pa.array([b" the"])}))
+    shared, known = (type("Shared", (), {"value": v}) for v in (vocabulary, common))
     table = documents.select("doc_id", "text").toArrow().to_batches()[0]
     rows = [r for b in bpe._with_words((table.slice(k, 40) for k in range(0, len(table), 40)), shared, known) for r in b.to_pylist()]
     assert [r["kind"] for r in rows].count(bpe.DOCUMENT) == len(table)
