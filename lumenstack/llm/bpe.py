@@ -22,16 +22,18 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumenstack.llm.textbatch import by_bytes, byte_buffer
+
 #: A run of white space with what follows it up to the next one. No piece of the pattern crosses the start of such a
 #: run, so a text's pieces are those of its stretches. Python counts 1C to 1F as white space, the pattern doesn't.
 STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
 #: Stretches that a task remembers, words after which it begins a new generation, and the bytes of the longest word that
 #: is folded (the fold's work grows with the square of the length; longer ones are merged with a heap).
-MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 180_000, 250_000, 255
+MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 100_000, 180_000, 255
 #: Text of a task, text of the sample whose words all tasks share, and the longest text of that sample.
-TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 28_000_000, 1 << 20
-#: References that are put together at once.
-AT_ONCE = 1_000_000
+TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 16_000_000, 1 << 20
+#: Bytes of words' numbers that are put together at once.
+AT_ONCE = 4_000_000
 #: A cell of the fold holds the rank of the pair that begins at a symbol, the symbol's place in the word, and its id.
 ID_BITS, PLACE_BITS = 20, 8
 NO_RANK = 1 << ID_BITS
@@ -239,7 +241,11 @@ def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[p
                 bodies.append(b"".join(map(refs_of.__getitem__, stretches)))
             fresh = list(own)[held:] if len(own) > held else []
             yield from _word_rows(fresh, len(known) + held, generation, vocabulary)
+            del texts, fresh
             yield _rows(DOCUMENT, generation, ids, refs=bodies)
+            del ids, bodies
+        del batch  # before the next one is read
+        pa.default_memory_pool().release_unused()
 
 
 class CommonWords:
@@ -298,29 +304,26 @@ def _assembled(batches: Iterator[pa.RecordBatch], common, with_ids: bool) -> Ite
     words, generation = _Words(common.value.table), 0
     for batch in batches:
         kind, age = batch.column("kind").to_numpy(), batch.column("generation").to_numpy()
-        for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(age)) + 1):  # words come before the documents that need them
-            if not len(part):
-                continue
-            if age[part[0]] != generation:
+        cuts = np.flatnonzero(np.diff(age) | np.diff(kind)) + 1  # words come before the documents that need them
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+            rows = batch.slice(first, last - first)
+            if len(rows) and age[first] != generation:
                 words.clear()
-                generation = age[part[0]]
-            rows = batch.take(pa.array(part[kind[part] == WORD]))
-            if len(rows):
+                generation = age[first]
+            if len(rows) and kind[first] == WORD:
                 words.add(rows.column("number").to_numpy(), rows.column("ids"), rows.column("decoded"))
-            rows = batch.take(pa.array(part[kind[part] == DOCUMENT]))
-            bodies = rows.column("refs").to_pylist()
-            sizes = np.cumsum([0, *(len(b) // 4 for b in bodies)])
-            first = 0
-            while first < len(bodies):
-                last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + AT_ONCE, "right")) - 1)
-                yield _put_together(rows.column("number").slice(first, last - first), bodies[first:last], words, with_ids)
-                first = last
+            elif len(rows):
+                for part in by_bytes([rows.select(["number", "refs"])], "refs", AT_ONCE):
+                    yield _put_together(part.column("number"), *byte_buffer(part.column("refs")), words, with_ids)
+                    del part
+        del batch, rows, kind, age  # before the next one is read
+        pa.default_memory_pool().release_unused()
 
 
-def _put_together(doc_ids: pa.Array, bodies: list[bytes], words: _Words, with_ids: bool) -> pa.RecordBatch:
+def _put_together(doc_ids: pa.Array, flat: np.ndarray, ends: np.ndarray, words: _Words, with_ids: bool) -> pa.RecordBatch:
+    """Documents from the bytes of their words' numbers, four each, and the ends of the documents among them."""
     texts, ids, plain = words.joined()
-    at = np.cumsum([0, *(len(b) // 4 for b in bodies)])
-    refs = np.frombuffer(b"".join(bodies), np.int32)
+    at, refs = ends // 4, np.frombuffer(flat, np.int32)
     if len(refs) and refs.max() >= words.n:
         raise ValueError("a document names a word that did not come")
     refs = pa.array(refs)

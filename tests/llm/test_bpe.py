@@ -67,7 +67,7 @@ def test_lost_words_are_seen(spark, vocabulary):
     with pytest.raises(ValueError):
         words.add(np.array([2]), pa.array([[5]], pa.list_(pa.int32())), pa.array([b"x"]))
     with pytest.raises(ValueError):
-        bpe._put_together(pa.array([1]), [np.array([0, 1], np.int32).tobytes()], words, True)
+        bpe._put_together(pa.array([1]), np.array([0, 1], np.int32).view(np.uint8), np.array([0, 8]), words, True)
 
 
 def test_generations_give_the_same_ids(documents, odd_rows, vocabulary, monkeypatch):
