@@ -29,9 +29,9 @@ from lumenstack.llm.textbatch import by_bytes, byte_buffer
 STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
 #: Stretches that a task remembers, words after which it begins a new generation, and the bytes of the longest word that
 #: is folded (the fold's work grows with the square of the length; longer ones are merged with a heap).
-MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 100_000, 180_000, 255
+MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 220_000, 300_000, 255
 #: Text of a task, text of the sample whose words all tasks share, and the longest text of that sample.
-TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 16_000_000, 1 << 20
+TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 36_000_000, 1 << 20
 #: Bytes of words' numbers that are put together at once.
 AT_ONCE = 4_000_000
 #: A cell of the fold holds the rank of the pair that begins at a symbol, the symbol's place in the word, and its id.
