@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lumenstack.llm.components import stored
-from lumenstack.llm.textbatch import byte_buffer
+from lumenstack.llm.textbatch import by_bytes, byte_buffer
 
 GRAM = 20
 #: Mean and least length of the chunks; bytes per task's slice of a batch; bytes after which the shallow sort ends.
 CHUNK, LEAST_CHUNK, SLICE, SHALLOW = 256, 64, 2_000_000, 16
+#: Contexts that a task compares before it sends them.
+SEEN = 200_000
 #: A minimizer is common from this many documents on, or from a 2^16th of all runs: so there are at most 2^16 of them.
 COMMON, MOST_COMMON = 10_000, 1 << 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -99,14 +102,54 @@ def chunk_spans(grams: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 #: Kinds of entries. RUN: windows with one minimizer. HEAD: a minimizer of several documents of a slice, whose number is its
-#: size. KNOWN: a run already known to be shared. CHUNK: a chunk, by the hash of its bytes.
+#: size. KNOWN: a run already known to be shared. CHUNK: a chunk, by the 128-bit hash of its bytes (hash and more).
 RUN, HEAD, KNOWN, CHUNK_OF, DONE, COMMON_RUN = range(6)
 
 
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    """A batch as a compressed stream."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked_rows(body: bytes) -> pa.RecordBatch:
+    """The batch of a compressed stream."""
+    return pa.ipc.open_stream(pa.BufferReader(body)).read_next_batch()
+
+
+def places(doc: np.ndarray, key: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document, so that what is known of it can meet it; equal texts are spread by their ids."""
+    mixed = (doc.view(np.uint64) ^ (key.view(np.uint64) >> np.uint64(7))) * _A
+    return ((mixed ^ (mixed >> np.uint64(29))) * _B >> np.uint64(20)).astype(np.int64) % groups
+
+
+def _by_place(rows: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """Groups and the packed rows for them."""
+    place = places(doc, key, groups)
+    order = np.argsort(place, kind="stable")
+    cuts = np.flatnonzero(np.diff(place[order], prepend=-1, append=groups))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(place[order[a]]), packed_rows(rows.take(pa.array(order[a:b])))
+
+
+def _packed_documents(batches: Iterator[pa.RecordBatch], doc: str, key: str, groups: int) -> Iterator[pa.RecordBatch]:
+    """Documents packed by their group; a null id counts as 0 here."""
+    for batch in batches:
+        for part in by_bytes([batch], "__text", 32 * SLICE):
+            found = list(_by_place(part, part.column(doc).fill_null(0).to_numpy(), part.column(key).to_numpy(), groups))
+            yield _bodies(found)
+
+
+def _bodies(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["bucket", "body"])
+
+
 class Entries:
-    """Entries as arrays of one length: kind, hash, doc (its id), key (of its text), start and size."""
+    """Entries as arrays of one length: kind, hash, more of the hash, doc (its id), key (of its text), start and size."""
 
-    FIELDS = {"kind": np.int8, "hash": np.uint64, "doc": np.int64, "key": np.int64, "start": np.int32, "size": np.int32}
+    FIELDS = {"kind": np.int8, "hash": np.uint64, "more": np.uint64, "doc": np.int64, "key": np.int64, "start": np.int32, "size": np.int32}
 
     def __init__(self, **columns: np.ndarray):
         self.columns = {name: np.asarray(columns[name]).astype(kind, copy=False) for name, kind in self.FIELDS.items()}
@@ -125,17 +168,14 @@ class Entries:
         return Entries(**{name: np.concatenate([p.columns[name] for p in parts]) if parts else [] for name in Entries.FIELDS})
 
     def packed(self) -> bytes:
-        """Documents in a table of their own, starts as steps: little is left to compress but the hashes."""
+        """Documents in a table of their own, starts as steps, hashes in halves: little is left to compress but their lower halves."""
         pair = np.stack([self.doc, self.key], axis=1)
         new = np.r_[True, (pair[1:] != pair[:-1]).any(axis=1)] if len(self) else np.zeros(0, bool)
         nth, step = (np.cumsum(new) - 1).astype(np.int32), np.diff(self.start, prepend=np.int32(0))
-        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (self.kind, self.hash, nth, step, self.size)], names=["kind", "hash", "nth", "step", "size"])
+        halves = (self.hash >> np.uint64(32)).astype(np.uint32), self.hash.astype(np.uint32)
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (self.kind, *halves, self.more, nth, step, self.size)], names=["kind", "high", "low", "more", "nth", "step", "size"])
         docs = pa.RecordBatch.from_arrays([pa.array(x) for x in (self.doc[new], self.key[new])], names=["doc", "key"])
-        out = pa.BufferOutputStream()
-        for batch in (docs, rows):
-            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_batch(batch)
-        return out.getvalue().to_pybytes()
+        return packed_rows(docs) + packed_rows(rows)
 
     @staticmethod
     def unpacked(body: bytes) -> "Entries":
@@ -143,7 +183,8 @@ class Entries:
         docs, rows = (pa.ipc.open_stream(source).read_all() for _ in range(2))
         nth = rows.column("nth").to_numpy()
         start = np.cumsum(rows.column("step").to_numpy(), dtype=np.int32)
-        columns = {k: rows.column(k).to_numpy() for k in ("kind", "hash", "size")}
+        columns = {k: rows.column(k).to_numpy() for k in ("kind", "more", "size")}
+        columns["hash"] = rows.column("high").to_numpy().astype(np.uint64) << np.uint64(32) | rows.column("low").to_numpy()
         return Entries(doc=docs.column("doc").to_numpy()[nth], key=docs.column("key").to_numpy()[nth], start=start, **columns)
 
 
@@ -155,7 +196,7 @@ def _dealt(entries: Entries, bucket: np.ndarray, buckets: int) -> Iterator[tuple
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    flat, ends = byte_buffer(batch.column("text"))
+    flat, ends = byte_buffer(batch.column("__text"))
     ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
     first = 0
     while first < len(batch):
@@ -174,6 +215,7 @@ def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
         for flat, ends, ids, keys in _slices(batch):
             grams = gram_hashes(words_at_each_byte(flat))
             doc, first, size, least = window_runs(grams, ends, length)
+            least = least % np.uint64(buckets) << np.uint64(32) | least >> np.uint64(32)  # its bucket and 32 more bits
             order = np.argsort(least)
             new = np.r_[True, least[order][1:] != least[order][:-1]] if len(order) else np.zeros(0, bool)
             group = np.cumsum(new) - 1
@@ -183,17 +225,16 @@ def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
             many = np.zeros(len(order), bool)
             many[order] = docs[group] > 1
             heads = order[np.flatnonzero(new)[docs > 1]]
-            runs = Entries(kind=np.where(many, KNOWN, RUN), hash=least, doc=ids[doc], key=keys[doc], start=first - ends[doc], size=size)
-            head = Entries(kind=np.full(len(heads), HEAD), hash=least[heads], doc=ids[doc[heads]], key=keys[doc[heads]], start=np.zeros(len(heads)), size=docs[docs > 1])
+            runs = Entries(kind=np.where(many, KNOWN, RUN), hash=least, more=np.zeros(len(least)), doc=ids[doc], key=keys[doc], start=first - ends[doc], size=size)
+            head = Entries(kind=np.full(len(heads), HEAD), hash=least[heads], more=np.zeros(len(heads)), doc=ids[doc[heads]], key=keys[doc[heads]], start=np.zeros(len(heads)), size=docs[docs > 1])
             spans = [(d, a, b) for d in np.flatnonzero(np.diff(ends) >= length).tolist() for a, b in chunk_spans(grams[ends[d] : ends[d + 1]], length)]
             text = flat.tobytes()
-            hashes = [xxhash.xxh3_64_intdigest(text[ends[d] + a : ends[d] + b]) for d, a, b in spans]
+            hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[ends[d] + a : ends[d] + b]) for d, a, b in spans]), np.uint64).reshape(-1, 2)
             d, a, b = (np.array(x, np.int64) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 3
-            chunks = Entries(kind=np.full(len(d), CHUNK_OF), hash=np.array(hashes, np.uint64), doc=ids[d], key=keys[d], start=a, size=b - a)
+            chunks = Entries(kind=np.full(len(d), CHUNK_OF), hash=hashes[:, 0], more=hashes[:, 1], doc=ids[d], key=keys[d], start=a, size=b - a)
             packed = Entries.joined([runs, head, chunks])
-            bucket = np.where(packed.kind == KNOWN, np.arange(len(packed)) // 1000 % buckets, (packed.hash % np.uint64(buckets)).astype(np.int64))
-            dealt = list(_dealt(packed, bucket, buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in dealt], pa.int64()), pa.array([x[1] for x in dealt], pa.binary())], names=["bucket", "body"])
+            home = np.where(packed.kind == CHUNK_OF, packed.hash % np.uint64(buckets), packed.hash >> np.uint64(32)).astype(np.int64)
+            yield _bodies(list(_dealt(packed, np.where(packed.kind == KNOWN, np.arange(len(packed)) // 1000 % buckets, home), buckets)))
 
 
 _SHARED = "bucket bigint, hash bigint, body binary"
@@ -220,8 +261,9 @@ def _bucket_shared(entries: Entries, common: int, groups: int) -> pa.RecordBatch
     kept, hot = [settled], []
     for of_chunks in (False, True):
         part = entries.take(np.flatnonzero((entries.kind == CHUNK_OF) if of_chunks else (entries.kind == RUN) | (entries.kind == HEAD)))
-        order = np.argsort(part.hash)
-        new = np.r_[True, part.hash[order][1:] != part.hash[order][:-1]] if len(order) else np.zeros(0, bool)
+        order = np.lexsort([part.more, part.hash]) if of_chunks else np.argsort(part.hash)
+        differs = (part.hash[order][1:] != part.hash[order][:-1]) | (part.more[order][1:] != part.more[order][:-1])
+        new = np.r_[True, differs] if len(order) else np.zeros(0, bool)
         heads, group = np.flatnonzero(new), np.cumsum(new) - 1
         if not len(heads):
             continue
@@ -230,7 +272,7 @@ def _bucket_shared(entries: Entries, common: int, groups: int) -> pa.RecordBatch
         if of_chunks:
             late = np.sort(order[doc > least])
             found = part.take(late)
-            found.columns["kind"] = np.full(len(late), DONE, np.int8)
+            found.columns |= {"kind": np.full(len(late), DONE, np.int8), "hash": np.zeros(len(late), np.uint64), "more": np.zeros(len(late), np.uint64)}
         else:
             is_head = part.kind[order] == HEAD
             docs = np.bincount(group, np.where(is_head, part.size[order], 1), len(heads))
@@ -239,7 +281,7 @@ def _bucket_shared(entries: Entries, common: int, groups: int) -> pa.RecordBatch
             hot = part.hash[order[heads]][docs >= common].view(np.int64).tolist()
         kept.append(found)
     found = Entries.joined(kept)
-    dealt = list(_dealt(found, found.key % groups, groups))
+    dealt = list(_dealt(found, places(found.doc, found.key, groups), groups))
     columns = [[x[0] for x in dealt] + [None] * len(hot), [None] * len(dealt) + hot, [x[1] for x in dealt] + [None] * len(hot)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "hash", "body"])
 
@@ -250,49 +292,56 @@ _SUFFIXES = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("key", pa.
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, common: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that chunks have not settled, by minimizer; windows of common minimizers by their own hash.
 
-    Rows come by group: packed entries first, then the documents. A context that several documents of a batch share
-    goes out once, for the least of them. Rows without a part are settled spans: they carry no bytes.
+    Rows come by group: packed entries first, then packed documents. A context that several documents share goes out
+    once, for the least of them, as far as SEEN of them are held. Rows without bytes are settled spans.
     """
     group, packed, of_doc = None, [], None
+    seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+    out: list[tuple] = []
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        rows = out + [(part, *at, len(body), body) for (part, body), at in seen.items()]
+        out.clear()
+        seen.clear()
+        for k in range(0, len(rows), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 20_000]), _SUFFIXES)], schema=_SUFFIXES)
+
     for batch in batches:
-        is_doc = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
-        buckets = batch.column("bucket").to_numpy()
-        flat, ends = byte_buffer(batch.column("text"))
-        ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-        seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        out: list[tuple] = []
-        for r in range(len(batch)):
-            if buckets[r] != group:
-                group, packed, of_doc = buckets[r], [], None
-            if not is_doc[r]:
-                packed.append(Entries.unpacked(batch.column("body")[r].as_py()))
+        for bucket, body, docs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "body", "docs"))):
+            if bucket != group:
+                group, packed, of_doc = bucket, [], None
+            if body is not None:
+                packed.append(Entries.unpacked(body))
                 continue
             if of_doc is None:
                 of_doc = _by_document(Entries.joined(packed))
                 packed = []
-            found = of_doc.get((ids[r], keys[r]))
-            if found is None:
-                continue
-            start, size, least, left, right = _unsettled(found, length)
-            out += [(None, ids[r], keys[r], a, b - a, None) for a, b in zip(left.tolist(), right.tolist())]
-            text = flat[ends[r] : ends[r + 1]].tobytes() if len(start) else b""
-            for s, n, h in zip(start.tolist(), size.tolist(), least.view(np.int64).tolist()):
-                pieces = [(h, s, text[s : s + n + length - 1])]
-                if h in common:
-                    pieces = [(xxhash.xxh3_64_intdigest(w) - (1 << 63), s + k, w) for k in range(n) for w in (text[s + k : s + k + length],)]
-                for part, at, body in pieces:
-                    other = seen.get((part, body))
-                    if other is None or other[0] > ids[r]:
-                        seen[part, body] = (ids[r], keys[r], at)
-                        if other is not None:
-                            out.append((None, *other, len(body), None))
-                    elif other[0] < ids[r]:
-                        out.append((None, ids[r], keys[r], at, len(body), None))
-                    else:  # the same document again: its windows fare alike, but each place needs its span
-                        out.append((part, ids[r], keys[r], at, len(body), body))
-        out += [(part, *at, len(body), body) for (part, body), at in seen.items()]
-        for k in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 20_000]), _SUFFIXES)], schema=_SUFFIXES)
+            rows = unpacked_rows(docs)
+            flat, ends = byte_buffer(rows.column("__text"))
+            for r, (doc, key) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("key").to_pylist())):
+                found = of_doc.get((doc, key))
+                if found is None:
+                    continue
+                start, size, least, left, right = _unsettled(found, length)
+                out += [(key, doc, key, a, b - a, None) for a, b in zip(left.tolist(), right.tolist())]
+                text = flat[ends[r] : ends[r + 1]].tobytes() if len(start) else b""
+                for s, n, h in zip(start.tolist(), size.tolist(), least.view(np.int64).tolist()):
+                    pieces = [(h, s, text[s : s + n + length - 1])]
+                    if h in common:
+                        pieces = [(xxhash.xxh3_64_intdigest(w) - (1 << 63), s + k, w) for k in range(n) for w in (text[s + k : s + k + length],)]
+                    for part, at, piece in pieces:
+                        other = seen.get((part, piece))
+                        if other is None or other[0] > doc:
+                            seen[part, piece] = (doc, key, at)
+                            if other is not None:
+                                out.append((key, *other, len(piece), None))
+                        elif other[0] < doc:
+                            out.append((key, doc, key, at, len(piece), None))
+                        else:  # the same document again: its windows fare alike, but each place needs its span
+                            out.append((part, doc, key, at, len(piece), piece))
+                if len(seen) + len(out) >= SEEN:
+                    yield from flushed()
+    yield from flushed()
 
 
 def _by_document(entries: Entries) -> dict[tuple[int, int], Entries]:
@@ -452,23 +501,31 @@ def earlier_windows(body: np.ndarray, ends: np.ndarray, part: np.ndarray, doc: n
 _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
 
-def _spans(batches: Iterator[pa.RecordBatch], length: int, enough: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Spans to drop, from contexts that come sorted by part; contexts without a part are spans already."""
+def _spans(batches: Iterator[pa.RecordBatch], length: int, groups: int, enough: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Spans to drop, packed by the group of their document, from contexts that come sorted by part; contexts without bytes are spans already."""
     held: list[pa.RecordBatch] = []
     size = 0
+
+    def sent(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        with_bytes = rows.column("body").is_valid()
+        done = rows.filter(pc.invert(with_bytes)).select(_SPANS.names).to_batches()
+        found = pa.Table.from_batches([_part_spans(rows.filter(with_bytes), length), *done], schema=_SPANS).combine_chunks()
+        return _bodies([x for b in found.to_batches() for x in _by_place(b, b.column("doc_id").to_numpy(), b.column("key").to_numpy(), groups)])
+
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
         if size >= enough:
             table = pa.Table.from_batches(held)
-            part = table.column("part").fill_null(0).to_numpy()
+            part = table.column("part").to_numpy()
             last = int(np.searchsorted(part, part[-1], "left")) if (part[1:] >= part[:-1]).all() else 0
             if last:
-                yield _part_spans(table.slice(0, last), length)
+                yield sent(table.slice(0, last))
                 held = table.slice(last).combine_chunks().to_batches()
             size = sum(b.nbytes for b in held)
     if held:
-        yield _part_spans(pa.Table.from_batches(held), length)
+        yield sent(pa.Table.from_batches(held))
 
 
 def _part_spans(table: pa.Table, length: int) -> pa.RecordBatch:
@@ -496,36 +553,55 @@ def _part_spans(table: pa.Table, length: int) -> pa.RecordBatch:
 
 
 def _dropped(batches: Iterator[pa.RecordBatch], keep: list[str], texts: bool) -> Iterator[pa.RecordBatch]:
-    """Each document without its spans."""
+    """Each document without its spans. Rows come by group: packed spans first, then packed documents."""
+    group, packed, spans, cuts = None, [], None, {}
     for batch in batches:
-        flat, ends = byte_buffer(batch.column("__text"))
-        removed, spans, digests, kept = [], [], [], []
-        for d in range(len(batch)):
-            text = flat[ends[d] : ends[d + 1]]
-            found = batch.column("__spans")[d].values
-            if found is not None and len(found):
-                change = np.zeros(len(text) + 1, np.int32)
-                start, size = (found.field(k).to_numpy() for k in ("start", "size"))
-                np.add.at(change, start, 1)
-                np.add.at(change, start + size, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                text = text[~gone]
-                removed.append(int(gone.sum()))
-                spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
-            else:
-                removed.append(0)
-                spans.append(0)
-            rest = text.tobytes()
-            digests.append(hashlib.sha256(rest).hexdigest())
-            if texts:
-                kept.append(rest)
-        sizes = np.diff(ends)
-        arrays = [batch.column(c) for c in keep] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-        names = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        for bucket, body, docs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "body", "docs"))):
+            if bucket != group:
+                group, packed, spans = bucket, [], None
+            if body is not None:
+                packed.append(unpacked_rows(body))
+                continue
+            if spans is None:
+                spans = pa.Table.from_batches(packed, schema=_SPANS)
+                doc, key, *spans = (spans.column(c).to_numpy() for c in _SPANS.names)
+                order = np.lexsort([key, doc])
+                doc, key, spans, packed = doc[order], key[order], [x[order].astype(np.int64) for x in spans], []
+                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else order
+                cuts = {(int(doc[a]), int(key[a])): (a, b) for a, b in zip(new.tolist(), np.r_[new[1:], len(doc)].tolist())}
+            rows = unpacked_rows(docs)
+            for part in by_bytes([rows], "__text", 4 * SLICE):
+                yield _without(part, cuts, *spans, keep, texts)
+
+
+def _without(batch: pa.RecordBatch, cuts: dict[tuple[int, int], tuple[int, int]], start: np.ndarray, size: np.ndarray, keep: list[str], texts: bool) -> pa.RecordBatch:
+    flat, ends = byte_buffer(batch.column("__text"))
+    removed, spans, digests, kept = [], [], [], []
+    for d, at in enumerate(zip(batch.column("__id").to_pylist(), batch.column("__key").to_pylist())):
+        text = flat[ends[d] : ends[d + 1]]
+        a, b = cuts.get(at, (0, 0))
+        if b > a:
+            change = np.zeros(len(text) + 1, np.int32)
+            np.add.at(change, start[a:b], 1)
+            np.add.at(change, start[a:b] + size[a:b], -1)
+            gone = np.cumsum(change[:-1]) > 0
+            text = text[~gone]
+            removed.append(int(gone.sum()))
+            spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
+        else:
+            removed.append(0)
+            spans.append(0)
+        rest = text.tobytes()
+        digests.append(hashlib.sha256(rest).hexdigest())
         if texts:
-            arrays += [pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
-            names += ["kept", "kept_text"]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+            kept.append(rest)
+    sizes = np.diff(ends)
+    arrays = [batch.column(c) for c in keep] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+    names = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    if texts:
+        arrays += [pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
+        names += ["kept", "kept_text"]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, texts: bool = False) -> DataFrame:
@@ -541,26 +617,31 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
     key = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
-    long = source.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), key.alias("key"), F.col(text_col).alias("__text"))
+    long = source.filter(F.col("doc_id").isNotNull() & (F.octet_length("__text") >= length))
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     # what a task holds of a bucket or a group stays bounded as the corpus grows
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 32_000_000 + 1)
     common = max(COMMON, total // 16 // MOST_COMMON)
-    packed = long.mapInArrow(lambda batches: _entries(batches, length, buckets), "bucket bigint, body binary")
+    bodies = "bucket bigint, body binary"
+    packed = long.mapInArrow(lambda batches: _entries(batches, length, buckets), bodies)
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     shared = stored(spark, dealt.mapInArrow(lambda batches: _shared(batches, common, buckets), _SHARED), "shared")
-    everywhere = frozenset(r.hash for r in shared.filter(F.col("hash").isNotNull()).select("hash").limit(MOST_COMMON).collect())
-    replies = shared.filter(F.col("body").isNotNull()).select("bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("string").alias("text"), "body")
-    asked = long.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "doc_id", "key", "text", F.lit(None).cast("binary").alias("body"))
-    met = replies.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("body").isNull())
-    contexts = met.mapInArrow(lambda batches: _contexts(batches, length, everywhere), "part bigint, doc_id bigint, key bigint, start int, size int, body binary")
-    contexts = stored(spark, contexts, "contexts")
-    sorted_parts = contexts.filter(F.col("part").isNotNull()).select("part", "doc_id", "key", "start", "body").repartition(buckets, "part").sortWithinPartitions("part")
-    spans = sorted_parts.mapInArrow(lambda batches: _spans(batches, length), "doc_id bigint, key bigint, start int, size int")
-    settled = contexts.filter(F.col("part").isNull()).select("doc_id", "key", "start", "size")
-    all_spans = spans.unionByName(settled).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "size")).alias("__spans"))
+    everywhere = frozenset(r.hash for r in shared.filter(F.col("hash").isNotNull()).select("hash").collect())  # at most MOST_COMMON by the rule above
+
+    def met(known: DataFrame, asked: DataFrame, doc: str, by: str) -> DataFrame:
+        """What is known of documents ahead of the documents, by group."""
+        asked = asked.mapInArrow(lambda batches: _packed_documents(batches, doc, by, buckets), bodies)
+        both = known.select("bucket", "body", F.lit(None).cast("binary").alias("docs")).unionByName(
+            asked.select("bucket", F.lit(None).cast("binary").alias("body"), F.col("body").alias("docs"))
+        )
+        return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("body").isNull())
+
+    replies = met(shared.filter(F.col("body").isNotNull()), long, "doc_id", "key")
+    contexts = replies.mapInArrow(lambda batches: _contexts(batches, length, everywhere), "part bigint, doc_id bigint, key bigint, start int, size int, body binary")
+    sorted_parts = contexts.repartition(buckets, "part").sortWithinPartitions("part")
+    spans = sorted_parts.mapInArrow(lambda batches: _spans(batches, length, buckets), bodies)
     left = docs.select(*keep, F.col(text_col).alias("__text"), F.col(id_col).cast("bigint").alias("__id"), key.alias("__key"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     fields += ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary, kept_text string" * texts
-    return left.join(all_spans, ["__id", "__key"], "left").mapInArrow(lambda batches: _dropped(batches, keep, texts), fields)
+    return met(spans, left, "__id", "__key").mapInArrow(lambda batches: _dropped(batches, keep, texts), fields)
