@@ -209,6 +209,21 @@ def _cells_of(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
         yield from _word_rows(words, 0, 0, shared.value)
 
 
+class _References(dict):
+    """Stretches to the numbers of their words; a word that nobody knows gets the next number of its own."""
+
+    def __init__(self, pieces, known: dict[str, int], own: dict[str, int]):
+        self.pieces, self.known, self.own = pieces, known, own
+
+    def __missing__(self, stretch: str) -> bytes:
+        known, own, numbers = self.known, self.own, []
+        for w in self.pieces(stretch):
+            number = known.get(w)
+            numbers.append(own.setdefault(w, len(own)) + len(known) if number is None else number)
+        found = self[stretch] = np.array(numbers, np.int32).tobytes() if len(numbers) > 1 else numbers[0].to_bytes(4, "little")
+        return found
+
+
 def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[pa.RecordBatch]:
     """Documents as they come, as the numbers of their words, each batch after the words it is the first to need.
 
@@ -217,28 +232,20 @@ def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[p
     vocabulary, known = shared.value, common.value.numbers
     pieces = regex.compile(vocabulary.pattern).findall
     own: dict[str, int] = {}
-    refs_of: dict[str, bytes] = {}
+    refs_of = _References(pieces, known, own)
     generation = 0
     for batch in batches:
         for first in range(0, len(batch), 500):
             ids = batch.column("doc_id").slice(first, 500)
             texts = batch.column("text").slice(first, 500).fill_null("").to_pylist()
             if len(own) > MOST_WORDS:
-                own, refs_of, generation = {}, {}, generation + 1
+                own.clear()
+                refs_of.clear()
+                generation += 1
             elif len(refs_of) > MOST_HELD:
-                refs_of = {}
-            held, bodies = len(own), []
-            for text in texts:
-                stretches = STRETCH.findall(text)
-                for s in set(stretches).difference(refs_of):
-                    numbers = []
-                    for w in pieces(s):
-                        number = known.get(w)
-                        if number is None:
-                            number = own.setdefault(w, len(own)) + len(known)
-                        numbers.append(number)
-                    refs_of[s] = np.array(numbers, np.int32).tobytes() if len(numbers) > 1 else numbers[0].to_bytes(4, "little")
-                bodies.append(b"".join(map(refs_of.__getitem__, stretches)))
+                refs_of.clear()
+            held, at = len(own), refs_of.__getitem__
+            bodies = [b"".join(map(at, STRETCH.findall(text))) for text in texts]
             fresh = list(own)[held:] if len(own) > held else []
             yield from _word_rows(fresh, len(known) + held, generation, vocabulary)
             del texts, fresh
