@@ -31,28 +31,30 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A tokenizer and the ids of the stretches it met of late, kept by a worker from task to task.
+    """A tokenizer as its file sets it up, and the ids of the stretches it met of late, kept by a worker from task to task.
 
-    Byte-level tokenizers without a prefix space are asked piece by piece, which spares them the offsets; others
-    encode the whole stretch.
+    Byte-level tokenizers without a prefix space are asked piece by piece, which spares them the offsets; others, and
+    stretches that hold a special token, are encoded by the tokenizer as they are. Where a special token could cross a
+    stretch or takes white space with it, whole texts are.
     """
 
     def __init__(self, definition: str, pattern: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         parts = json.loads(definition)
         before = parts.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not parts.get("normalizer")
+        added = parts.get("added_tokens") or []
+        self.special = [t["content"] for t in added]
+        self.whole = any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"][0].isalpha() or re.search(r"\s", t["content"]) for t in added)
         self.pieces, self.model = regex.compile(pattern).findall, self.tokenizer.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.space = self.letters[32]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Remembered(self), {}
 
     def encoded(self, stretch: str) -> bytes:
-        if not self.by_piece:
+        if not self.by_piece or any(t in stretch for t in self.special):
             return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
         spaced = stretch[0] == " "
         if (stretch[1:] if spaced else stretch).isalpha():  # one piece, as most are
@@ -63,14 +65,27 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [STRETCH.findall(t) for t in texts]
+        if self.whole:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         if len(self.young) > MOST_HELD:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        for stretches in cut:
-            for s in set(stretches).difference(young):
-                young[s] = old[s] if s in old else self.encoded(s)
-        return [b"".join(map(young.__getitem__, stretches)) for stretches in cut]
+            self.young, self.old = _Remembered(self), self.young
+            self.old.encoder = None
+        at = self.young.__getitem__
+        return [b"".join(map(at, STRETCH.findall(t))) for t in texts]
+
+
+class _Remembered(dict):
+    """Stretches to their ids; what it lacks comes from the generation before or from the tokenizer."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.encoder.old.get(stretch)
+        if found is None:
+            found = self.encoder.encoded(stretch)
+        self[stretch] = found
+        return found
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -102,7 +117,8 @@ def write_tokens(
 ) -> None:
     """Write the ids of each text by the tokenizer whose JSON is given (pattern: that of its byte-level pre-tokenizer), end_id after each, below path: files by ascending id, named in their column `file`.
 
-    Null texts have the end id alone. Null ids come first; repeated ids follow each other, by their text. An empty
+    Ids are those of Tokenizer.encode(text, add_special_tokens=False): the string of a special token in a text is that token,
+    if the definition doesn't say otherwise. Null texts have the end id alone; texts may be of any length. Null ids come first; repeated ids follow each other, by their text. An empty
     table leaves files without rows.
     """
     spark = docs.sparkSession

@@ -1,4 +1,5 @@
 import glob
+import json
 import zlib
 
 import numpy as np
@@ -64,3 +65,23 @@ def test_stretches_keep_ids():
     for _ in range(400):
         text = "".join(rng.choice(["ab", "'s", " ", "  ", "\n", ".", "12", "!", "\x1c", "\x85", "　", "éa", "漢", ",", "<|endoftext|>"]) for _ in range(25))
         assert encoder.texts([text])[0] == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_special_tokens_as_the_library_has_them(spark):
+    untouched = Tokenizer.from_str(DEFINITION)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> x", "word.<|endoftext|>\n\n<|endoftext|>!", "<|endoftext", "ab|<|endoftext|>"]
+    assert untouched.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    encoder = token_files.Encoder(DEFINITION, public_tokenizers.PATTERN)
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.texts(texts)] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), DEFINITION, path)
+    rows = token_files.read_tokens(spark, path).collect()
+    assert {r.doc_id: r.ids for r in rows} == {k: [*untouched.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+
+
+def test_special_tokens_that_take_white_space():
+    parts = json.loads(DEFINITION)
+    parts["added_tokens"][0]["lstrip"] = True
+    untouched, encoder = Tokenizer.from_str(json.dumps(parts)), token_files.Encoder(json.dumps(parts), public_tokenizers.PATTERN)
+    text = "a  <|endoftext|> b"
+    assert np.frombuffer(encoder.texts([text])[0], "<u4").tolist() == untouched.encode(text, add_special_tokens=False).ids
