@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -55,3 +57,53 @@ def test_language_id_rejects_by_score(spark, documents, sf_dir):
 def test_language_id_without_labels_keeps_documents(spark, documents, sf_dir):
     bare = documents.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language_id(spark, bare, sf_dir).count() == documents.filter(F.col("text").rlike(r"\p{L}")).count() > 0
+
+
+def test_near_duplicates_by_brute_force(spark, documents, sf_dir):
+    """Least ids of groups of shingle sets of similarity 0.8 or more, by comparing all pairs; rows with null and repeated ids."""
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    long = " ".join(f"w{k}" for k in range(100))
+    rows += [(9001, long), (9002, long + " tail"), (None, long), (None, "nobody else has these six words"), (9003, None), (9004, ""), (9005, long.replace("w50", "x")), (9005, "another row of this id, and all its own")]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], documents.schema)
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        return frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or (rows[a][0] is not None and rows[a][0] == rows[b][0]) or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) > 0:
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    expected = Counter((i, t) for k, (i, t) in enumerate(rows) if least.get(find(k)) == i)
+    found = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, table, sf_dir).collect())
+    assert found == expected
+
+
+def test_repeated_passages_by_brute_force(spark, documents, sf_dir):
+    first, texts = {}, {r.doc_id: (r.text or "").encode() for r in documents.collect()}
+    for i in sorted(texts):
+        for p in range(len(texts[i]) - 49):
+            first.setdefault(texts[i][p : p + 50], i)
+    expected = {}
+    for i, text in texts.items():
+        gone = bytearray(len(text))
+        for p in range(len(text) - 49):
+            if first[text[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        left = bytes(b for b, g in zip(text, gone) if not g).decode("utf-8", "ignore")
+        if left or not any(gone):
+            expected[i] = left
+    assert {r.doc_id: r.text or "" for r in corpus_pipeline.repeated_passages(spark, documents, sf_dir).collect()} == expected
