@@ -22,16 +22,16 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenstack.llm.textbatch import by_bytes, byte_buffer
+from lumenstack.llm.textbatch import by_bytes, byte_buffer, spare, tidy
 
 #: A run of white space with what follows it up to the next one. No piece of the pattern crosses the start of such a
 #: run, so a text's pieces are those of its stretches. Python counts 1C to 1F as white space, the pattern doesn't.
 STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
 #: Stretches that a task remembers, words after which it begins a new generation, and the bytes of the longest word that
 #: is folded (the fold's work grows with the square of the length; longer ones are merged with a heap).
-MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 220_000, 300_000, 255
+MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 200_000, 250_000, 255
 #: Text of a task, text of the sample whose words all tasks share, and the longest text of that sample.
-TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 36_000_000, 1 << 20
+TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 24_000_000, 1 << 20
 #: Bytes of words' numbers that are put together at once.
 AT_ONCE = 4_000_000
 #: A cell of the fold holds the rank of the pair that begins at a symbol, the symbol's place in the word, and its id.
@@ -193,6 +193,7 @@ def _word_rows(words: list[str], first: int, generation: int, vocabulary: Vocabu
         yield _rows(WORD, generation, pa.array(range(first + k, first + k + len(part)), pa.int64()), words=part, vocabulary=vocabulary)
 
 
+@tidy
 def _sample_words(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Distinct words of a task's sampled texts."""
     pieces = regex.compile(shared.value.pattern).findall
@@ -224,6 +225,7 @@ class _References(dict):
         return found
 
 
+@tidy
 def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[pa.RecordBatch]:
     """Documents as they come, as the numbers of their words, each batch after the words it is the first to need.
 
@@ -252,7 +254,7 @@ def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[p
             yield _rows(DOCUMENT, generation, ids, refs=bodies)
             del ids, bodies
         del batch  # before the next one is read
-        pa.default_memory_pool().release_unused()
+        spare()
 
 
 class CommonWords:
@@ -306,6 +308,7 @@ def _taken(values: pa.Array, refs: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(found.buffers()[2] or b""), ends
 
 
+@tidy
 def _assembled(batches: Iterator[pa.RecordBatch], common, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Documents as the concatenation of their words' ids and bytes."""
     words, generation = _Words(common.value.table), 0
@@ -324,7 +327,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], common, with_ids: bool) -> Ite
                     yield _put_together(part.column("number"), *byte_buffer(part.column("refs")), words, with_ids)
                     del part
         del batch, rows, kind, age  # before the next one is read
-        pa.default_memory_pool().release_unused()
+        spare()
 
 
 def _put_together(doc_ids: pa.Array, flat: np.ndarray, ends: np.ndarray, words: _Words, with_ids: bool) -> pa.RecordBatch:

@@ -20,6 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lumenstack.llm.textbatch import tidy
+
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCE_END = re.compile(r"[.!?:][\"'”’)\]]*$")
 # Words for small numbers and common units.
@@ -122,6 +124,7 @@ _SLOT = pa.struct([("at", pa.int32()), ("value", pa.string()), ("opens", pa.bool
 _WINDOWS = f"id bigint, h bigint, at int, n int, {_SLOTS}"
 
 
+@tidy
 def _windows(batches: Iterator[pa.RecordBatch], window: int, least_literals: int, least_named: int, table) -> Iterator[pa.RecordBatch]:
     """at: the window's first word; n: the first words of the text's windows, counted for items only."""
     lexicon = Lexicon()
@@ -224,6 +227,7 @@ def chains(met: list[tuple]) -> Iterator[list[tuple]]:
 _FOUND = "doc_id bigint, item_id bigint, matched bigint, coverage double, changed boolean"
 
 
+@tidy
 def _judged(batches: Iterator[pa.RecordBatch], least_coverage: float, least_run: int) -> Iterator[pa.RecordBatch]:
     """Batches of met windows sorted by document, item and place in the document; a pair may run over several."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64()), ("changed", pa.bool_())])

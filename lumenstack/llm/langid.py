@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lumenstack.llm.textbatch import by_bytes, byte_buffer, with_columns
+from lumenstack.llm.textbatch import by_bytes, byte_buffer, tidy, with_columns
 
 UNDETERMINED = "und"
 PAD = 256
@@ -206,6 +206,7 @@ def predict(docs: DataFrame, model: ByteConvNet | None, text_col: str = "text",
     return source.mapInArrow(lambda batches: _predict(batches, model, keep), f"{fields}, lang_pred string, score double")
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], model: ByteConvNet | None, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "__text", 4_000_000):
         letters = batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lumenstack.llm.components import stored
-from lumenstack.llm.textbatch import by_bytes, byte_buffer
+from lumenstack.llm.textbatch import by_bytes, byte_buffer, tidy
 
 GRAM = 20
 #: Mean and least length of the chunks; bytes per task's slice of a batch; bytes after which the shallow sort ends.
@@ -134,6 +134,7 @@ def _by_place(rows: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, groups: in
         yield int(place[order[a]]), packed_rows(rows.take(pa.array(order[a:b])))
 
 
+@tidy
 def _packed_documents(batches: Iterator[pa.RecordBatch], doc: str, key: str, groups: int) -> Iterator[pa.RecordBatch]:
     """Documents packed by their group; a null id counts as 0 here."""
     for batch in batches:
@@ -205,6 +206,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         first = last
 
 
+@tidy
 def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed entries by bucket: the runs and chunks of each slice of documents.
 
@@ -240,6 +242,7 @@ def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
 _SHARED = "bucket bigint, hash bigint, body binary"
 
 
+@tidy
 def _shared(batches: Iterator[pa.RecordBatch], common: int, groups: int) -> Iterator[pa.RecordBatch]:
     """For each bucket: packed, by the group of their document, the runs whose minimizer several documents have and the
     chunks that an earlier document has (DONE); and the hashes of minimizers of many documents, in rows of their own."""
@@ -289,6 +292,7 @@ def _bucket_shared(entries: Entries, common: int, groups: int) -> pa.RecordBatch
 _SUFFIXES = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("body", pa.binary())])
 
 
+@tidy
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, common: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that chunks have not settled, by minimizer; windows of common minimizers by their own hash.
 
@@ -501,6 +505,7 @@ def earlier_windows(body: np.ndarray, ends: np.ndarray, part: np.ndarray, doc: n
 _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
 
+@tidy
 def _spans(batches: Iterator[pa.RecordBatch], length: int, groups: int, enough: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Spans to drop, packed by the group of their document, from contexts that come sorted by part; contexts without bytes are spans already."""
     held: list[pa.RecordBatch] = []
@@ -552,6 +557,7 @@ def _part_spans(table: pa.Table, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_SPANS)
 
 
+@tidy
 def _dropped(batches: Iterator[pa.RecordBatch], keep: list[str], texts: bool) -> Iterator[pa.RecordBatch]:
     """Each document without its spans. Rows come by group: packed spans first, then packed documents."""
     group, packed, spans, cuts = None, [], None, {}
