@@ -15,6 +15,8 @@ import re
 from collections.abc import Iterator
 from functools import cached_property
 from heapq import heapify, heappop, heappush
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +67,11 @@ class Vocabulary:
         self.ranks, self.pattern = ranks, pattern
         pairs = pair_ranks(ranks)
         self.slots = 1 << max(8, len(pairs).bit_length() - 2)
-        slots: list[dict[str, int]] = [{} for _ in range(self.slots)]
-        for (left, right), rank in pairs.items():
-            slots[self._slot(left, right)][str(left << ID_BITS | right)] = rank
-        self._rank_map = json.dumps(slots, separators=(",", ":"))
+        entries = sorted((self._slot(left, right), left << ID_BITS | right, rank) for (left, right), rank in pairs.items())
+        slots = [""] * self.slots
+        for slot, cells in groupby(entries, key=itemgetter(0)):
+            slots[slot] = ",".join(f'"{pair}":{rank}' for _, pair, rank in cells)
+        self._rank_map = "[" + ",".join("{" + slot + "}" for slot in slots) + "]"
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
@@ -376,6 +379,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     total = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     common = context.broadcast(CommonWords(common_words(source, shared, total)))  # bounded by the sample's bytes
+    spare()
     # the more text a task has, the rarer its new words: a stretch of documents of TASK_BYTES each
     rows = source.coalesce(total // TASK_BYTES + 1).mapInArrow(lambda batches: _with_words(batches, shared, common), _ROWS)
     rows = _folded(rows, vocabulary).select("kind", "generation", "number", "refs", "ids", "decoded")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lumenstack.llm.textbatch import by_bytes, byte_buffer, tidy, with_columns
+from lumenstack.llm.textbatch import by_bytes, byte_buffer, spare, tidy, with_columns
 
 UNDETERMINED = "und"
 PAD = 256
@@ -158,7 +158,9 @@ def fit(docs: DataFrame, per_lang: int = 1000, chars: int = 768, seed: int = 42,
     (None).
     """
     rows = passages(docs, per_lang, chars, seed, text_col, lang_col, id_col)
-    return train([r[2].encode() for r in rows], [r[0] for r in rows], **training) if rows else None
+    model = train([r[2].encode() for r in rows], [r[0] for r in rows], **training) if rows else None
+    spare()
+    return model
 
 
 def bar(scores: np.ndarray, right: np.ndarray) -> float:
