@@ -50,9 +50,30 @@ def neuron_schema() -> T.StructType:
     )
 
 
-def mirrored(i: Column, n: Column) -> Column:
-    """Index i reflected at the borders of 0..n-1 without repeating the edge, for offsets below n."""
-    return n - 1 - F.abs(n - 1 - F.abs(i))
+def mirrored(i: Column, n: int) -> Column:
+    """Index i reflected at the borders of 0..n-1 without repeating the edge, as often as it takes."""
+    period = max(1, 2 * (n - 1))
+    within = F.pmod(i, F.lit(period))
+    return F.least(within, period - within) if n > 1 else F.lit(0)
+
+
+def mirror_sources(i: Column, offset: Column, n: int) -> Column:
+    """The indices p of 0..n-1, each once, for which mirrored(p + offset) is i."""
+    period = F.lit(max(1, 2 * (n - 1)))
+    return F.filter(F.array_distinct(F.array(F.pmod(i - offset, period), F.pmod(-i - offset, period))), lambda p: p < n)
+
+
+def clamp_sources(i: Column, offset: Column, n: int) -> Column:
+    """The indices p of 0..n-1 for which p + offset, moved to the nearest of 0..n-1, is i."""
+    low = F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), i - offset))
+    high = F.when(i == n - 1, F.lit(n - 1)).otherwise(F.least(F.lit(n - 1), i - offset))
+    if n > 1:
+        high = F.when(i == 0, F.least(F.lit(n - 1), -offset)).otherwise(high)
+        low = F.when(i == n - 1, F.greatest(F.lit(0), n - 1 - offset)).otherwise(low)
+    else:
+        low = high = F.lit(0)
+    low, high = low.cast("bigint"), high.cast("bigint")
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
 def offsets(df: DataFrame, name: str, values: list) -> DataFrame:
@@ -61,8 +82,16 @@ def offsets(df: DataFrame, name: str, values: list) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the cluster's checkpoint folder: what follows more than once isn't computed again."""
+    """The same rows, read from the cluster's checkpoint folder: what follows more than once isn't computed again.
+
+    A folder of our own is set only in local mode; a cluster must name one that all its machines share.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+            folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

@@ -11,7 +11,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenstack.model import cut, mirrored
+from lumenstack.model import clamp_sources, cut, mirror_sources
 
 AXES = ("t", "y", "x")
 
@@ -38,35 +38,30 @@ def gaussian_kernel(stdev: float, window_size: float) -> dict[int, float]:
     return {k: w / total for k, w in weights.items()}
 
 
-def axis_filter(pixels: DataFrame, axis: str, kernel: dict[int, float], size: int, first: int = 0) -> DataFrame:
-    """Correlate v with the kernel along an axis of the given size, borders mirrored without repeating the edge."""
+def axis_filter(pixels: DataFrame, axis: str, kernel: dict[int, float], size: int, first: int = 0, border: str = "mirror") -> DataFrame:
+    """Correlate v with the kernel along an axis of the given size, of any length; borders are mirrored without repeating
+    the edge (as often as a long kernel needs), or with border="nearest" hold the edge's value."""
     others = [a for a in pixels.columns if a != "v"]
     taps = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in sorted(kernel.items())]))
-    n, i = F.lit(size), F.col(axis) - first
-    # each input feeds the outputs p with mirrored(p + o) = i: seen from i these are i - o and its two reflections
-    fed = pixels.withColumn("__tap", taps).withColumn("__i", i)
-    targets = F.array_distinct(F.array(F.col("__i") - F.col("__tap.o"), -F.col("__i") - F.col("__tap.o"), 2 * (n - 1) - F.col("__i") - F.col("__tap.o")))
-    fed = fed.withColumn("__p", F.explode(targets)).filter((F.col("__p") >= 0) & (F.col("__p") < n) & (mirrored(F.col("__p") + F.col("__tap.o"), n) == F.col("__i")))
+    sources = {"mirror": mirror_sources, "nearest": clamp_sources}[border]
+    fed = pixels.withColumn("__tap", taps).withColumn("__p", F.explode(sources(F.col(axis) - first, F.col("__tap.o"), size)))
     keys = [(F.col("__p") + first).cast("bigint").alias(a) if a == axis else F.col(a) for a in others]
     return fed.groupBy(*keys).agg(F.sum(F.col("v") * F.col("__tap.w")).alias("v"))
 
 
-def gaussian_filter(pixels: DataFrame, stdev: dict[str, float], window_size: float, sizes: dict[str, int]) -> DataFrame:
+def gaussian_filter(pixels: DataFrame, stdev: dict[str, float], window_size: float, sizes: dict[str, int], border: str = "mirror") -> DataFrame:
     """One pass for each axis whose deviation isn't 0."""
     for axis, s in stdev.items():
         if s:
-            pixels = axis_filter(pixels, axis, gaussian_kernel(s, window_size), sizes[axis])
+            pixels = axis_filter(pixels, axis, gaussian_kernel(s, window_size), sizes[axis], border=border)
     return pixels
 
 
 def rank_filter(pixels: DataFrame, half_window_size: int, quantile: float, size: int, axis: str = "t") -> DataFrame:
     """The value of rank round(q * 2h) among the 2h + 1 around each, borders mirrored."""
     others = [a for a in pixels.columns if a != "v"]
-    h, n = half_window_size, F.lit(size)
-    reached = F.transform(F.sequence(F.lit(-h), F.lit(h)), lambda o: o)
-    fed = pixels.withColumn("__o", F.explode(reached)).withColumn("__i", F.col(axis))
-    targets = F.array_distinct(F.array(F.col("__i") - F.col("__o"), -F.col("__i") - F.col("__o"), 2 * (n - 1) - F.col("__i") - F.col("__o")))
-    fed = fed.withColumn("__p", F.explode(targets)).filter((F.col("__p") >= 0) & (F.col("__p") < n) & (mirrored(F.col("__p") + F.col("__o"), n) == F.col("__i")))
+    h = half_window_size
+    fed = pixels.withColumn("__o", F.explode(F.sequence(F.lit(-h), F.lit(h)))).withColumn("__p", F.explode(mirror_sources(F.col(axis), F.col("__o"), size)))
     keys = [F.col("__p").cast("bigint").alias(a) if a == axis else F.col(a) for a in others]
     rank = round(quantile * 2 * h)
     return fed.groupBy(*keys).agg(F.get(F.sort_array(F.collect_list("v")), F.lit(rank)).alias("v"))
@@ -81,15 +76,12 @@ def binary_dilation(mask: DataFrame, footprint: list[tuple[int, int]], sizes: tu
 
     def back(axis: str, delta: str, n: int):
         i, d = F.col(axis), F.col(f"o.{delta}")
-        return F.filter(F.array_distinct(F.array(i - d, -1 - i - d, 2 * n - 1 - i - d)), lambda p: (p >= 0) & (p < n) & (_symmetric(p + d, n) == i))
+        period = F.lit(2 * n)
+        return F.filter(F.array(F.pmod(i - d, period), F.pmod(-1 - i - d, period)), lambda p: p < n)
 
     return reached.select("t", F.explode(back("y", "dy", sizes[0])).alias("y"), "x", "o").select("t", "y", F.explode(back("x", "dx", sizes[1])).alias("x")).distinct()
 
 
-def _symmetric(i, n: int):
-    return F.when(i < 0, -1 - i).when(i >= n, 2 * n - 1 - i).otherwise(i)
-
-
 def binary_erosion(mask: DataFrame, grid: DataFrame, footprint: list[tuple[int, int]], sizes: tuple[int, int]) -> DataFrame:
     """Pixels all of whose footprint neighbours are in the mask: what a dilation of the rest of the grid doesn't reach."""
     rest = grid.select("t", "y", "x").join(mask, ["t", "y", "x"], "left_anti")

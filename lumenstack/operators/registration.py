@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lumenstack.model import cut, to_pixels
 
+log = logging.getLogger(__name__)
+
 
 def roll(pixels: DataFrame, dy: int, dx: int, sizes: tuple[int, int]) -> DataFrame:
     """Pixels rolled cyclically; masked where they wrapped around."""
@@ -71,10 +74,14 @@ def mean_frame(frames: DataFrame, shape: tuple[int, int], shifts: DataFrame | No
 def register_mean_offsets(frames: DataFrame, shape: tuple[int, int], max_iters: int = 10) -> DataFrame:
     """(t, dy, dx) that bring the frames onto their own mean: correlate, centre, average again, until no shift changes.
 
-    The mean over frames of the shifts, rounded half to even, is taken off. At most max_iters rounds.
+    The mean over frames of the shifts, rounded half to even, is taken off. There are at most max_iters rounds, or as many
+    as it takes if that is below 0; shifts that then come back to those of an earlier round would go round for ever, and end
+    there with a warning.
     """
     shifts = frames.select("t", F.lit(0).cast("bigint").alias("dy"), F.lit(0).cast("bigint").alias("dx"))
-    for _ in range(max_iters):
+    rounds, seen = 0, set()
+    while rounds != max_iters:
+        rounds += 1
         raw = find_offsets(frames, mean_frame(frames, shape, shifts))
         mean = raw.agg(*[F.bround(F.avg(a)).cast("bigint").alias(f"m{a}") for a in ("dy", "dx")])
         centred = raw.crossJoin(F.broadcast(mean)).select("t", (F.col("dy") - F.col("mdy")).alias("dy"), (F.col("dx") - F.col("mdx")).alias("dx"))
@@ -83,4 +90,11 @@ def register_mean_offsets(frames: DataFrame, shape: tuple[int, int], max_iters:
         shifts = new
         if same:
             break
+        if max_iters >= 0:
+            continue
+        state = tuple(new.agg(F.bit_xor(F.xxhash64("t", "dy", "dx")), F.sum(F.hash("t", "dy", "dx")), F.sum("dy"), F.sum("dx")).first())
+        if state in seen:
+            log.warning("no fixed point: after %d rounds the shifts are those of an earlier round", rounds)
+            break
+        seen.add(state)
     return shifts

@@ -28,7 +28,7 @@ def hypersphere_masks(spark: SparkSession, shape: tuple[int, int], centers: list
 
 
 def gaussian_images(spark: SparkSession, shape: tuple[int, int], means: list, std_devs: list, magnitudes: list) -> DataFrame:
-    """(t, y, x, v): image t is a point of a magnitude at its mean, smoothed by a Gaussian cut at 4 deviations."""
+    """(t, y, x, v): image t is a point of a magnitude at its mean, smoothed by a Gaussian cut at 4 deviations, the edge held at the borders."""
     points = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(int(y)).alias("cy"), F.lit(int(x)).alias("cx"), F.lit(float(m)).alias("m")) for k, ((y, x), m) in enumerate(zip(means, magnitudes))])
     cells = grid(spark, shape).withColumn("p", F.explode(points))
     at = (F.col("y") == F.col("p.cy")) & (F.col("x") == F.col("p.cx"))
@@ -37,7 +37,7 @@ def gaussian_images(spark: SparkSession, shape: tuple[int, int], means: list, st
     for k, s in enumerate(std_devs):
         one = images.filter(F.col("t") == k)
         for axis, n in (("y", shape[0]), ("x", shape[1])):
-            one = axis_filter(one, axis, gaussian_kernel(s, 4.0), n)
+            one = axis_filter(one, axis, gaussian_kernel(s, 4.0), n, border="nearest")
         result = one if result is None else result.unionByName(one)
     return result
 

@@ -37,8 +37,7 @@ def register(spark: SparkSession, parameters: dict, output: str, inputs: list[st
     frames, shape, _ = _stack(spark, inputs[0])
     if "128" in str(parameters.get("float_type", "")):
         raise ValueError("Spark has no floats of 128 bits")
-    rounds = parameters.get("max_iters", -1)
-    shifts = registration.register_mean_offsets(frames, shape, max_iters=rounds if rounds > 0 else 100)
+    shifts = registration.register_mean_offsets(frames, shape, max_iters=parameters.get("max_iters", -1))
     pixels = registration.truncate_masked(registration.roll_by(model.to_pixels(frames.select("t", "shape", "data")), shifts, shape))
     size = pixels.agg(F.max("y"), F.max("x")).first()
     model.to_frames(pixels, (size[0] + 1, size[1] + 1)).write.parquet(output)

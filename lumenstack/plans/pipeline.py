@@ -52,7 +52,7 @@ def generate_dictionary(frames: DataFrame, shape: tuple[int, int], parameters: d
         known = {"K": "n_components", "iter": "n_iter", "lambda1": "penalty", "posAlpha": "positive_codes", "posD": "positive_atoms"}
         options = _options(parameters["spams.trainDL"], known | {k: "" for k in ("gamma1", "gamma2", "numThreads", "batchsize", "lambda2", "clean", "mode", "modeD")}, "dictionary")
     options.pop("", None)
-    options["n_iter"] = min(int(options.get("n_iter", 20)), 50)  # each round sees every frame, where the named solvers see a batch
+    options["n_iter"] = int(options.get("n_iter", 20))
     atoms = dictionary.generate_dictionary(frames, **options)
     rows = [(k, list(shape), [float(v) for v in atom]) for k, atom in enumerate(atoms)]
     return frames.sparkSession.createDataFrame(rows, model.FRAMES)

@@ -247,12 +247,12 @@ def dot_product_normalized(spark, sf_dir):
 
 
 @query(
-    f"""with {PX}, m as (select t,y,x from px where v>0.1 and t<100), a as (select t,count(*) a from m group by t)
+    f"""with {PX}, m as (select t,y,x from px where v>0.1), a as (select t,count(*) a from m group by t)
 select i.t ti,j.t tj,round(count(*)/(any_value(ai.a)+any_value(aj.a)-count(*)),6) iou from m i join m j on i.y=j.y and i.x=j.x and i.t<j.t
 join a ai on ai.t=i.t join a aj on aj.t=j.t group by i.t,j.t"""
 )
 def masks_overlap(spark, sf_dir):
-    m = pixels(spark, sf_dir).filter("v > 0.1 and t < 100").select("t", "y", "x")
+    m = pixels(spark, sf_dir).filter("v > 0.1").select("t", "y", "x")
     found = pairwise.masks_overlap(m.withColumnRenamed("t", "ti"), m.withColumnRenamed("t", "tj"), "ti", "tj").filter("ti < tj")
     return found.select("ti", "tj", F.round("overlap", 6).alias("iou"))
 

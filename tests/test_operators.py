@@ -339,3 +339,69 @@ def test_streams(spark, noisy, tmp_path):
         query.stop()
     assert spark.table("n").count() == 6
     assert {(r.y, r.x): r.mx for r in spark.table("p").collect()} == {(y, x): noisy[:, y, x].max() for y in range(7) for x in range(9)}
+
+
+def reflected(i, n, edge):
+    """Index i at the borders of 0..n-1, step by step, the edge repeated or not."""
+    while not 0 <= i < n:
+        if n == 1:
+            return 0
+        i = (-i - edge) if i < 0 else 2 * n - 2 + edge - i
+    return i
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_windows_longer_than_the_axis(spark, n):
+    """Linear and rank filters, bands and morphology with half windows up to three times the axis, against plain loops."""
+    series = np.random.default_rng(n).random(n)
+    table = stack_of(spark, series.reshape(n, 1, 1))
+    pixels = model.to_pixels(table)
+    for h in sorted({1, n, 2 * n + 1, 3 * n}):
+        kernel = {o: 1.0 + abs(o + 1) for o in range(-h, h + 1)}
+        taken = np.array([[series[reflected(p + o, n, 0)] for o in range(-h, h + 1)] for p in range(n)])
+        found = image_of(filters.axis_filter(pixels, "t", kernel, n), (n, 1, 1)).ravel()
+        assert np.allclose(found, taken @ [kernel[o] for o in range(-h, h + 1)])
+        held = np.array([[series[min(max(p + o, 0), n - 1)] for o in range(-h, h + 1)] for p in range(n)])
+        found = image_of(filters.axis_filter(pixels, "t", kernel, n, border="nearest"), (n, 1, 1)).ravel()
+        assert np.allclose(found, held @ [kernel[o] for o in range(-h, h + 1)])
+        found = image_of(filters.rank_filter(pixels, h, 0.9, n), (n, 1, 1)).ravel()
+        assert np.array_equal(found, np.sort(taken, axis=1)[:, round(0.9 * 2 * h)])
+        mask = pixels.filter("v > 0.5").select(F.lit(0).cast("bigint").alias("t"), F.col("t").alias("y"), "x")
+        reached = [(0, d) for d in (-h, 0, h)]
+        found = {r.x for r in filters.binary_dilation(mask.select("t", F.lit(0).cast("bigint").alias("y"), F.col("y").alias("x")), reached, (1, n)).collect()}
+        assert found == {p for p in range(n) if any(series[reflected(p + d, n, 1)] > 0.5 for _, d in reached)}
+
+
+def test_bands_add_up_at_any_scale(spark):
+    """Constant frames have no detail; four levels along short axes, against plain loops."""
+    images = np.random.default_rng(8).random((3, 4, 5))
+    found = filters.wavelet_transform(model.to_pixels(stack_of(spark, images)), {"t": 4, "x": 3}, {"t": 3, "x": 5}, include_lower_scales=True)
+    current = images
+    for level in range(1, 5):
+        smooth = current
+        for axis, last in ((0, 4), (2, 3)):
+            if level <= last:
+                n, kernel = images.shape[axis], filters.binomial_kernel(level)
+                smooth = np.stack([sum(w * np.take(smooth, reflected(p + o, n, 0), axis) for o, w in kernel.items()) for p in range(n)], axis)
+        assert np.allclose(image_of(found.filter(F.col("band") == level).drop("band"), images.shape), current - smooth)
+        current = smooth
+    flat = filters.wavelet_transform(model.to_pixels(stack_of(spark, np.ones((3, 4, 5)))), 3, {"t": 3, "y": 4, "x": 5})
+    assert flat.agg(F.max(F.abs("v"))).first()[0] < 1e-12
+
+
+def test_images_hold_the_edge(spark):
+    """A point beside the border: what the kernel would put outside stays with the edge."""
+    found = image_of(synthetic.gaussian_images(spark, (9, 9), [(0, 8)], [1.5], [1.0]), (1, 9, 9))
+    kernel = filters.gaussian_kernel(1.5, 4.0)
+    def line(at):
+        return np.array([sum(w for o, w in kernel.items() if min(max(p + o, 0), 8) == at) for p in range(9)])
+    assert np.allclose(found[0], np.outer(line(0), line(8)))
+
+
+def test_chains_merge_to_the_end(spark):
+    """A chain of neurons, each like the next, becomes one in as many rounds as it takes."""
+    rows = [(0, k, [(0, x, 1.0) for x in range(k, k + 20)]) for k in range(14)]
+    found = spark.createDataFrame(rows, "t bigint, label bigint, pixels array<struct<y bigint, x bigint, v double>>")
+    left = neurons.merge_neuron_sets(found, (1, 40), 0.9, 2.0).select("neuron", "pixels").collect()
+    cells = spark.createDataFrame([(r.neuron, p.y, p.x, p.v) for r in left for p in r.pixels], "neuron bigint, y bigint, x bigint, v double")
+    assert len(left) < 14 and neurons.similarities(cells).filter("angle > 0.9").isEmpty()
