@@ -29,8 +29,8 @@ from lumenstack.llm.textbatch import by_bytes, byte_buffer, tidy
 GRAM = 20
 #: Mean and least length of the chunks; bytes per task's slice of a batch; bytes after which the shallow sort ends.
 CHUNK, LEAST_CHUNK, SLICE, SHALLOW = 256, 64, 2_000_000, 16
-#: Contexts that a task compares before it sends them.
-SEEN = 200_000
+#: Contexts that a task compares before it sends them, and text whose entries make a bucket.
+SEEN, BUCKET_BYTES = 150_000, 11_000_000
 #: A minimizer is common from this many documents on, or from a 2^16th of all runs: so there are at most 2^16 of them.
 COMMON, MOST_COMMON = 10_000, 1 << 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -251,12 +251,14 @@ def _shared(batches: Iterator[pa.RecordBatch], common: int, groups: int) -> Iter
     for batch in batches:
         for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
             if bucket != current and held:
-                yield _bucket_shared(Entries.joined(held), common, groups)
-                held = []
+                whole, held = Entries.joined(held), []
+                yield _bucket_shared(whole, common, groups)
+                del whole
             current = bucket
             held.append(Entries.unpacked(body))
     if held:
-        yield _bucket_shared(Entries.joined(held), common, groups)
+        whole, held = Entries.joined(held), []
+        yield _bucket_shared(whole, common, groups)
 
 
 def _bucket_shared(entries: Entries, common: int, groups: int) -> pa.RecordBatch:
@@ -627,7 +629,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     long = source.filter(F.col("doc_id").isNotNull() & (F.octet_length("__text") >= length))
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     # what a task holds of a bucket or a group stays bounded as the corpus grows
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 32_000_000 + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
     common = max(COMMON, total // 16 // MOST_COMMON)
     bodies = "bucket bigint, body binary"
     packed = long.mapInArrow(lambda batches: _entries(batches, length, buckets), bodies)
