@@ -1,7 +1,6 @@
 """Pairs of vectors and of masks, and mappings between two sets.
 
-vectors: id BIGINT, v ARRAY<DOUBLE>. The second set of a product is taken in blocks of rows gathered in one
-row each, so the join is between blocks and the inner loop stays inside a row.
+vectors: id BIGINT, v ARRAY<DOUBLE>. A product of two sets makes every pair, so its work is the product of their sizes.
 """
 
 from __future__ import annotations

@@ -41,7 +41,7 @@ def _correlated(batches: Iterator[pa.RecordBatch], template: np.ndarray) -> Iter
     conj = np.conj(np.fft.fft2(template))
     h, w = template.shape
     for batch in batches:
-        frames = np.array(batch.column("data").to_pylist(), float).reshape(-1, h, w)
+        frames = batch.column("data").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, h, w)
         score = np.round(np.abs(np.fft.ifft2(np.fft.fft2(frames) * conj).real), 12).reshape(len(frames), -1)
         best = score.argmax(axis=1)  # ties: the first in C order
         columns = [batch.column("t"), pa.array(-(best // w), pa.int64()), pa.array(-(best % w), pa.int64())]

@@ -22,11 +22,12 @@ def expand_rois(pixels: DataFrame, roi: Column | DataFrame) -> DataFrame:
     return data.join(unit, "t").groupBy("roi", "y", "x").agg(F.sum(F.col("tr") * F.col("v")).alias("corr"))
 
 
-def estimate_f0(pixels: DataFrame, half_window_size: int, which_quantile: float, sizes: dict[str, int], temporal_stdev: float = 0.0, spatial_stdev: float = 0.0, window_size: float = 5.0) -> DataFrame:
-    """The background: a temporal Gaussian, a rank filter along time, a spatial Gaussian."""
+def estimate_f0(pixels: DataFrame, half_window_size: int, which_quantile: float, sizes: dict[str, int], temporal_stdev: float = 0.0, spatial_stdev: float = 0.0, window_size: float = 5.0, spatial_window_size: float | None = None) -> DataFrame:
+    """The background: a temporal Gaussian, a rank filter along time, a spatial Gaussian, which has the window of the first unless it has its own."""
+    spatial_window_size = window_size if spatial_window_size is None else spatial_window_size
     smooth = gaussian_filter(pixels, {"t": temporal_stdev}, window_size, sizes)
     ranked = rank_filter(smooth, half_window_size, which_quantile, sizes["t"])
-    return gaussian_filter(ranked, {a: spatial_stdev for a in sizes if a != "t"}, window_size, sizes)
+    return gaussian_filter(ranked, {a: spatial_stdev for a in sizes if a != "t"}, spatial_window_size, sizes)
 
 
 def extract_f0(pixels: DataFrame, bias: float | None = None, **background) -> DataFrame:

@@ -32,8 +32,9 @@ def preprocess_data(frames: DataFrame, shape: tuple[int, int], length: int, para
             "bias": "bias", "half_window_size": "half_window_size", "which_quantile": "which_quantile",
             "temporal_smoothing_gaussian_filter_stdev": "temporal_stdev", "spatial_smoothing_gaussian_filter_stdev": "spatial_stdev",
             "temporal_smoothing_gaussian_filter_window_size": "window_size",
+            "spatial_smoothing_gaussian_filter_window_size": "spatial_window_size",
         }
-        options = _options({k: v for k, v in parameters["extract_f0"].items() if k != "spatial_smoothing_gaussian_filter_window_size"}, known, "extract_f0")
+        options = _options(parameters["extract_f0"], known, "extract_f0")
         pixels = traces.extract_f0(model.to_pixels(frames) if pixels is None else pixels, sizes={"t": length, "y": shape[0], "x": shape[1]}, **options)
     if "wavelet.transform" in parameters:
         scale = parameters["wavelet.transform"]["scale"]

@@ -257,13 +257,15 @@ def masks_overlap(spark, sf_dir):
     return found.select("ti", "tj", F.round("overlap", 6).alias("iou"))
 
 
-_MAPPED = """m as (select a.vec_id i,b.vec_id j from embeddings a join embeddings b on a.vec_id%2=0 and b.vec_id%2=1
+_MAPPED = """m as (select a.vec_id i,b.vec_id j from embeddings a join embeddings b on a.vec_id<>b.vec_id
 where list_cosine_similarity(a.embedding::double[],b.embedding::double[])>0.4)"""
 
 
 def _mapping(spark, sf_dir) -> DataFrame:
+    """All pairs of different vectors with a cosine above 0.4, each way round; a pair is computed once."""
     v = vectors(spark, sf_dir)
-    return pairwise.dot_product_normalized(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), keep=lambda i, j, c: c > 0.4).select("i", "j")
+    half = model.cut(pairwise.dot_product_normalized(v, v, keep=lambda i, j, c: (i < j) & (c > 0.4)).select("i", "j"))
+    return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j")))
 
 
 @query(f"with {_MAPPED} select i,j from m qualify count(*) over(partition by i)=1 and count(*) over(partition by j)=1")

@@ -405,3 +405,14 @@ def test_chains_merge_to_the_end(spark):
     left = neurons.merge_neuron_sets(found, (1, 40), 0.9, 2.0).select("neuron", "pixels").collect()
     cells = spark.createDataFrame([(r.neuron, p.y, p.x, p.v) for r in left for p in r.pixels], "neuron bigint, y bigint, x bigint, v double")
     assert len(left) < 14 and neurons.similarities(cells).filter("angle > 0.9").isEmpty()
+
+
+def test_spatial_window_of_its_own(spark):
+    images = np.random.default_rng(3).random((4, 9, 8))
+    sizes = dict(zip("tyx", images.shape))
+    options = {"half_window_size": 1, "which_quantile": 0.5, "spatial_stdev": 1.5}
+    stack = model.to_pixels(stack_of(spark, images))
+    both = image_of(traces.estimate_f0(stack, sizes=sizes, window_size=1.0, **options), images.shape)
+    own = image_of(traces.estimate_f0(stack, sizes=sizes, window_size=5.0, spatial_window_size=1.0, **options), images.shape)
+    wide = image_of(traces.estimate_f0(stack, sizes=sizes, window_size=5.0, **options), images.shape)
+    assert np.allclose(both, own) and not np.allclose(own, wide)
