@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenstack.llm import bpe, decontamination, epsilon_grid, langid, licences, sharding, simhash, suffix_dedup, token_files, toxicity
+from lumenstack.llm import alignment, bpe, decontamination, epsilon_grid, langid, lexical, licences, packing, sharding, simhash, suffix_dedup, token_files, toxicity
 from lumenstack.llm.components import scratch_path
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _definition() -> str:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
 def op1_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave_shards(_table(spark, sf_dir, "documents"), n_shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -71,6 +76,21 @@ def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _definition(), capacity=2048, end_id=0)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    found = alignment.align_and_score(_table(spark, sf_dir, "documents"), _definition(), model, relation="end")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_interleave_shards": op1_interleave_shards,
     "op2_language_id": op2_language_id,
@@ -82,6 +102,9 @@ QUERIES = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_epsilon_grid": op9_epsilon_grid,
     "op10_licence_rules": op10_licence_rules,
+    "op11_pack_sequences": op11_pack_sequences,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: CRC-32 of a text's bytes, by a table of its polynomial.
@@ -109,7 +132,21 @@ select doc_id, sentences, coalesce((select string_agg(distinct licence, ',' orde
   where regexp_matches(' ' || replace(sentences, ',', ' ') || ' ', pattern)), '') as licences from b"""
 
 
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 ORACLES = {
+    "op12_ranked_search": f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as words from documents),
+  s as (select r, doc_id, len(words) as n from d where len(words) > 0),
+  t as (select count(*) as all_docs, sum(n)::bigint as all_terms from s),
+  q as (select distinct item_id, unnest({_WORDS}) as term from benchmark),
+  p as (select r, term, count(*) as tf from (select r, unnest(words) as term from d) where term in (select term from q) group by all),
+  w as (select term, floor(1000 * ln((2 * any_value(all_docs) + 2) / (2 * count(*) + 1)))::bigint as w from p, t group by term),
+  i as (select p.r, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * all_docs) // all_terms))) as score
+    from p join w using (term) join s using (r), t),
+  x as (select item_id, doc_id, sum(score)::bigint as score from i join q using (term) join s using (r) group by item_id, r, doc_id)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from x where score > 0)
+where rank <= 10""",
     "op10_licence_rules": _licence_sql(),
     "op5_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
