@@ -2,13 +2,16 @@
 
 frames: t BIGINT, shape ARRAY<INT>, data ARRAY<DOUBLE>, a row per frame, pixels in C order.
 pixels: t, y, x BIGINT, v DOUBLE [, masked BOOLEAN], a row per pixel: for windows, joins and aggregates.
+planes: t, z BIGINT, shape, data: a volume's frames, a row per plane, where a volume is too large for one row.
+Volumes have three sizes in shape, and z before y and x in the other forms.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 PIXELS = "t bigint, y bigint, x bigint, v double"
 FRAMES = "t bigint, shape array<int>, data array<double>"
@@ -19,18 +22,62 @@ def frames(df: DataFrame, shape: tuple[int, ...], time_col: str = "t", data_col:
     return df.select(F.col(time_col).cast("bigint").alias("t"), F.array(*[F.lit(int(n)) for n in shape]).alias("shape"), F.col(data_col).cast("array<double>").alias("data"))
 
 
-def to_pixels(stack: DataFrame) -> DataFrame:
-    """Pixel form of two-dimensional frames; other columns of the frames are kept."""
-    cells = stack.select(*[c for c in stack.columns if c not in ("shape", "data")], F.col("shape")[1].cast("bigint").alias("__w"), F.posexplode("data").alias("__i", "v"))
-    return cells.select(*[c for c in stack.columns if c not in ("shape", "data")], F.expr("__i div __w").alias("y"), F.expr("__i % __w").alias("x"), "v")
+def axes(ndim: int) -> tuple[str, ...]:
+    """Names of the axes of an image, the slowest first: (y, x) or (z, y, x)."""
+    if not 1 <= ndim <= 3:
+        raise ValueError("images have one to three axes")
+    return ("z", "y", "x")[-ndim:]
+
+
+def axes_of(pixels: DataFrame) -> tuple[str, ...]:
+    """The image axes among the columns of a pixel form."""
+    return tuple(a for a in ("z", "y", "x") if a in pixels.columns)
+
+
+def places(index: str, sizes: list[str]) -> list[Column]:
+    """The coordinates, slowest first, of an index in C order; index and sizes are SQL."""
+    steps = [" * ".join(sizes[k + 1 :]) for k in range(len(sizes))]
+    return [F.expr(f"cast({index} div ({step}) as bigint) % cast({n} as bigint)" if step else f"cast({index} as bigint) % cast({n} as bigint)") for n, step in zip(sizes, steps)]
+
+
+def flat_index(names: tuple[str, ...], shape: tuple[int, ...], of=F.col) -> Column:
+    """The index in C order of coordinates; `of` makes the column of an axis."""
+    at = of(names[0])
+    for name, n in zip(names[1:], shape[1:]):
+        at = at * int(n) + of(name)
+    return at.cast("bigint")
+
+
+def to_pixels(stack: DataFrame, ndim: int = 2) -> DataFrame:
+    """Pixel form of frames of so many dimensions; other columns of the frames are kept."""
+    others = [c for c in stack.columns if c not in ("shape", "data")]
+    cells = stack.select(*others, F.col("shape").alias("__shape"), F.posexplode("data").alias("__i", "v"))
+    named = [c.alias(a) for a, c in zip(axes(ndim), places("__i", [f"__shape[{k}]" for k in range(ndim)]))]
+    return cells.select(*others, *named, "v")
 
 
 def to_frames(pixels: DataFrame, shape: tuple[int, ...]) -> DataFrame:
     """Frame form of pixels, which must be complete."""
-    cells = F.sort_array(F.collect_list(F.struct((F.col("y") * shape[1] + F.col("x")).alias("i"), "v")))
+    cells = F.sort_array(F.collect_list(F.struct(flat_index(axes(len(shape)), shape).alias("i"), "v")))
     return pixels.groupBy("t").agg(F.transform(cells, lambda c: c["v"]).alias("data")).select("t", F.array(*[F.lit(int(n)) for n in shape]).alias("shape"), "data")
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The rows with a column more: their place, from 0, in the order of the columns, which should tell rows apart.
+
+    Rows are dealt out by ranges and numbered there; what is known of all ranges at once is their sizes.
+    """
+    dealt = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__at", 33)
+    before, total = [], 0
+    for row in dealt.groupBy(part.alias("p")).count().orderBy("p").collect():  # a row for each partition
+        before.append((row.p, total))
+        total += row["count"]
+    starts = df.sparkSession.createDataFrame(before, "__p bigint, __before bigint")
+    inside = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return dealt.join(F.broadcast(starts), part == F.col("__p")).withColumn(name, F.col("__before") + inside).drop("__at", "__p", "__before")
+
+
 def neuron_schema() -> T.StructType:
     """A component: its mask, contour and image, flattened, with its size, peak and moments."""
     reals, flags = T.ArrayType(T.DoubleType()), T.ArrayType(T.BooleanType())
@@ -50,48 +97,41 @@ def neuron_schema() -> T.StructType:
     )
 
 
-def mirrored(i: Column, n: int) -> Column:
-    """Index i reflected at the borders of 0..n-1 without repeating the edge, as often as it takes."""
-    period = max(1, 2 * (n - 1))
-    within = F.pmod(i, F.lit(period))
-    return F.least(within, period - within) if n > 1 else F.lit(0)
-
+def offsets(df: DataFrame, name: str, values: list) -> DataFrame:
+    """Each row once for each value: a literal table exploded in place, so nothing is joined."""
+    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
-def mirror_sources(i: Column, offset: Column, n: int) -> Column:
-    """The indices p of 0..n-1, each once, for which mirrored(p + offset) is i."""
-    period = F.lit(max(1, 2 * (n - 1)))
-    return F.filter(F.array_distinct(F.array(F.pmod(i - offset, period), F.pmod(-i - offset, period))), lambda p: p < n)
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. One of our own is set only in local mode; a cluster must name one that all its machines share."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
 
-def clamp_sources(i: Column, offset: Column, n: int) -> Column:
-    """The indices p of 0..n-1 for which p + offset, moved to the nearest of 0..n-1, is i."""
-    low = F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), i - offset))
-    high = F.when(i == n - 1, F.lit(n - 1)).otherwise(F.least(F.lit(n - 1), i - offset))
-    if n > 1:
-        high = F.when(i == 0, F.least(F.lit(n - 1), -offset)).otherwise(high)
-        low = F.when(i == n - 1, F.greatest(F.lit(0), n - 1 - offset)).otherwise(low)
-    else:
-        low = high = F.lit(0)
-    low, high = low.cast("bigint"), high.cast("bigint")
-    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from the cluster's checkpoint folder: what follows more than once isn't computed again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-def offsets(df: DataFrame, name: str, values: list) -> DataFrame:
-    """Each row once for each value: a literal table exploded in place, so nothing is joined."""
-    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
+class Written:
+    """A table in the checkpoint folder. Loops keep their state in one: a checkpoint's size is still reckoned from the plan that made it, and
+    where each round joins what the last one left, that number outgrows all memory."""
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the cluster's checkpoint folder: what follows more than once isn't computed again.
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self.path, self.context = f"{shared_folder(spark).rstrip('/')}/table-{os.urandom(8).hex()}", spark.sparkContext
+        df.write.parquet(self.path)
+        self.rows = spark.read.schema(df.schema).parquet(self.path)
 
-    A folder of our own is set only in local mode; a cluster must name one that all its machines share.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    def remove(self) -> None:
+        """Delete the table, which nothing may read from now on."""
+        path = self.context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.context._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,19 +1,22 @@
 """Separable filters along one axis at a time, rank filters, morphology and undecimated wavelets.
 
-An axis filter explodes each value to the outputs it contributes to, borders reflected, and adds up by
-output: a partial aggregate on each side of one shuffle per axis, and no window over a whole axis.
+A filter along an axis deals series out in blocks with as much of their neighbours as the window reaches, in one shuffle, and runs
+over each in numpy; along the axes of whole frames it runs where the frame lies.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lumenstack.model import clamp_sources, cut, mirror_sources
-
-AXES = ("t", "y", "x")
+from lumenstack.model import axes, cut
 
 
 def binomial_coefficients(n: int) -> list[int]:
@@ -38,15 +41,87 @@ def gaussian_kernel(stdev: float, window_size: float) -> dict[int, float]:
     return {k: w / total for k, w in weights.items()}
 
 
+def reached(at: np.ndarray, n: int, border: str) -> np.ndarray:
+    """The indices of 0..n-1 that stand for any indices: mirrored without repeating the edge, as often as it takes, or held at it ("nearest")."""
+    if border == "nearest" or n == 1:
+        return np.clip(at, 0, n - 1)
+    within = at % (2 * (n - 1))
+    return np.minimum(within, 2 * (n - 1) - within)
+
+
+def along(pixels: DataFrame, axis: str, size: int, reach: int, kernel: Callable[[np.ndarray], np.ndarray], first: int = 0, border: str = "mirror", block: int | None = None) -> DataFrame:
+    """Pixels whose v is kernel(window values) along an axis, which must be complete from `first` on for `size` places.
+
+    The axis is cut into blocks. A pixel goes to its block and to those within reach of it, (block + 2 reach) / block rows for one; series
+    stand sorted in their partitions and pass by one run at a time. The kernel gets a run with `reach` values more at each end and gives a
+    value for each place between. All other columns tell series apart.
+    """
+    others = [c for c in pixels.columns if c not in (axis, "v")]
+    block = block or max(4 * reach, 1024)
+    place = F.col(axis) - first
+    held = F.sequence(F.expr(f"greatest({axis} - {first + reach}, 0) div {block}"), F.expr(f"least({axis} - {first - reach}, {size - 1}) div {block}"))
+    dealt = pixels.select("v", *others, place.cast("bigint").alias("__p"), F.explode(held).alias("__block"))
+    rows = dealt.repartition("__block", *others).sortWithinPartitions("__block", *others, "__p")
+    keys = ["__block", *others]
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables of whole runs."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            if not len(table):
+                continue
+            last = table.slice(len(table) - 1)
+            same = np.ones(len(table), bool)
+            for key in keys:
+                same &= pc.equal(table.column(key), last.column(key)[0]).to_numpy(zero_copy_only=False)
+            start = len(table) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if start:
+                yield table.slice(0, start)
+            rest = table.slice(start)
+        if rest is not None and len(rest):
+            yield rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches):
+            table = table.combine_chunks()
+            places, values, blocks = (table.column(c).to_numpy() for c in ("__p", "v", "__block"))
+            opens = np.ones(len(table), bool)
+            opens[1:] = False
+            for key in keys:
+                column = table.column(key).to_numpy()
+                opens[1:] |= column[1:] != column[:-1]
+            starts = np.append(np.flatnonzero(opens), len(table))
+            kept, made = [], []
+            for a, b in zip(starts.tolist(), starts[1:].tolist()):
+                low, high = int(blocks[a]) * block, min(size, int(blocks[a]) * block + block)
+                from_, to = max(0, low - reach), min(size, high + reach)
+                if b - a != to - from_ or places[a] != from_ or places[b - 1] != to - 1:
+                    raise ValueError(f"pixels must be complete along {axis}, from {first} for {size} places")
+                made.append(kernel(values[a:b][reached(np.arange(low - reach, high + reach), size, border) - from_]))
+                kept.append(np.arange(a + low - from_, a + high - from_))
+            out = table.take(pa.array(np.concatenate(kept)))
+            columns = [out.column(c) for c in others] + [pa.array(out.column("__p").to_numpy() + first), pa.array(np.concatenate(made).astype(float))]
+            yield from pa.table(columns, names=[*others, axis, "v"]).to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in others) + f"{', ' * bool(others)}`{axis}` bigint, v double"
+    return rows.mapInArrow(run, fields).select(*pixels.columns)
+
+
 def axis_filter(pixels: DataFrame, axis: str, kernel: dict[int, float], size: int, first: int = 0, border: str = "mirror") -> DataFrame:
     """Correlate v with the kernel along an axis of the given size, of any length; borders are mirrored without repeating
     the edge (as often as a long kernel needs), or with border="nearest" hold the edge's value."""
-    others = [a for a in pixels.columns if a != "v"]
-    taps = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in sorted(kernel.items())]))
-    sources = {"mirror": mirror_sources, "nearest": clamp_sources}[border]
-    fed = pixels.withColumn("__tap", taps).withColumn("__p", F.explode(sources(F.col(axis) - first, F.col("__tap.o"), size)))
-    keys = [(F.col("__p") + first).cast("bigint").alias(a) if a == axis else F.col(a) for a in others]
-    return fed.groupBy(*keys).agg(F.sum(F.col("v") * F.col("__tap.w")).alias("v"))
+    reach = max(map(abs, kernel))
+
+    def correlate(window: np.ndarray) -> np.ndarray:
+        n = len(window) - 2 * reach
+        out = np.zeros(n)
+        for offset, weight in sorted(kernel.items()):
+            out += weight * window[reach + offset : reach + offset + n]
+        return out
+
+    return along(pixels, axis, size, reach, correlate, first, border)
 
 
 def gaussian_filter(pixels: DataFrame, stdev: dict[str, float], window_size: float, sizes: dict[str, int], border: str = "mirror") -> DataFrame:
@@ -57,14 +132,28 @@ def gaussian_filter(pixels: DataFrame, stdev: dict[str, float], window_size: flo
     return pixels
 
 
+def sliding_rank(window: np.ndarray, half: int, rank: int) -> np.ndarray:
+    """The value of a rank among each 2 half + 1 values that follow each other; NaN sorts last.
+
+    A sorted list takes each new value in and lets the oldest go; short windows are sorted at once.
+    """
+    n = len(window) - 2 * half
+    if half <= 16 or np.isnan(window).any():
+        return np.concatenate([np.sort(np.lib.stride_tricks.sliding_window_view(window[a : a + 4096 + 2 * half], 2 * half + 1), axis=1)[:, rank] for a in range(0, n, 4096)])
+    values, out = window.tolist(), np.empty(n)
+    held = sorted(values[: 2 * half])
+    for k in range(n):
+        insort(held, values[k + 2 * half])
+        out[k] = held[rank]
+        del held[bisect_left(held, values[k])]
+    return out
+
+
 def rank_filter(pixels: DataFrame, half_window_size: int, quantile: float, size: int, axis: str = "t") -> DataFrame:
     """The value of rank round(q * 2h) among the 2h + 1 around each, borders mirrored."""
-    others = [a for a in pixels.columns if a != "v"]
     h = half_window_size
-    fed = pixels.withColumn("__o", F.explode(F.sequence(F.lit(-h), F.lit(h)))).withColumn("__p", F.explode(mirror_sources(F.col(axis), F.col("__o"), size)))
-    keys = [F.col("__p").cast("bigint").alias(a) if a == axis else F.col(a) for a in others]
     rank = round(quantile * 2 * h)
-    return fed.groupBy(*keys).agg(F.get(F.sort_array(F.collect_list("v")), F.lit(rank)).alias("v"))
+    return along(pixels, axis, size, h, lambda window: sliding_rank(window, h, rank))
 
 
 def binary_dilation(mask: DataFrame, footprint: list[tuple[int, int]], sizes: tuple[int, int]) -> DataFrame:
@@ -92,11 +181,12 @@ def box(half_y: int, half_x: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-half_y, half_y + 1) for dx in range(-half_x, half_x + 1)]
 
 
-def wavelet_transform(pixels: DataFrame, scale: int | dict[str, int], sizes: dict[str, int], include_lower_scales: bool = False) -> DataFrame:
+def wavelet_transform(pixels: DataFrame, scale: int | dict[str, int], sizes: dict[str, int], include_lower_scales: bool = False, include_intermediates: bool = False) -> DataFrame:
     """Undecimated wavelet: the last detail band, or with include_lower_scales all of them, in a column `band` from 1.
 
     Level i smooths each axis whose scale is at least i by the binomial kernel of that level; a band is the
-    difference of two neighbouring smoothings.
+    difference of two neighbouring smoothings. With include_intermediates all bands have a column `smooth`, the image after that level.
+    Any axis may be smoothed, time too; where only axes of the frames are, frame_wavelets moves no rows.
     """
     scale = {a: scale for a in sizes} if isinstance(scale, int) else scale
     bands, current = [], pixels
@@ -107,12 +197,57 @@ def wavelet_transform(pixels: DataFrame, scale: int | dict[str, int], sizes: dic
                 smooth = axis_filter(smooth, axis, binomial_kernel(level), sizes[axis])
         keys = [c for c in pixels.columns if c != "v"]
         # a union and an aggregate instead of a join: the difference is a sum with signs
-        signed = current.unionByName(smooth.withColumn("v", -F.col("v")))
-        bands.append(signed.groupBy(*keys).agg(F.sum("v").alias("v")).withColumn("band", F.lit(level)))
+        signed = current.withColumn("__s", F.lit(None).cast("double")).unionByName(smooth.select(*keys, (-F.col("v")).alias("v"), F.col("v").alias("__s")))
+        band = signed.groupBy(*keys).agg(F.sum("v").alias("v"), F.max("__s").alias("smooth")).withColumn("band", F.lit(level))
+        bands.append(band if include_intermediates else band.drop("smooth"))
         current = cut(smooth) if max(scale.values()) > 2 else smooth
-    if not include_lower_scales:
+    if not (include_lower_scales or include_intermediates):
         return bands[-1].drop("band")
     result = bands[0]
     for b in bands[1:]:
         result = result.unionByName(b)
     return result
+
+
+def smoothed(image: np.ndarray, axis: int, kernel: dict[int, float]) -> np.ndarray:
+    """The image correlated with the kernel along an axis, borders mirrored without repeating the edge."""
+    n = image.shape[axis]
+    out = np.zeros(image.shape)
+    for offset, weight in sorted(kernel.items()):
+        out += weight * np.take(image, reached(np.arange(n) + offset, n, "mirror"), axis)
+    return out
+
+
+def frame_wavelets(frames: DataFrame, scale: int | dict[str, int], ndim: int = 2, include_lower_scales: bool = False, include_intermediates: bool = False) -> DataFrame:
+    """(t, band, shape, data[, smooth]): the wavelet of each frame along its own axes, computed where the frame lies.
+
+    The last band, all of them (include_lower_scales), or all with the smoothed image of each level (include_intermediates).
+    """
+    names = axes(ndim)
+    scale = {a: scale for a in names} if isinstance(scale, int) else scale
+    levels = max(scale.values())
+    every = include_lower_scales or include_intermediates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("data")
+            values, starts = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for row, (a, b, shape) in enumerate(zip(starts, starts[1:], batch.column("shape").to_pylist())):
+                current, made = values[a:b].astype(float).reshape(shape), []
+                for level in range(1, levels + 1):
+                    smooth = current
+                    for k, name in enumerate(names):
+                        if level <= scale.get(name, 0):
+                            smooth = smoothed(smooth, k, binomial_kernel(level))
+                    if every or level == levels:
+                        made.append((level, current - smooth, smooth))
+                    current = smooth
+                n = len(made)
+                columns = [pa.array([batch.column("t")[row].as_py()] * n, pa.int64()), pa.array([m[0] for m in made], pa.int32()), pa.array([shape] * n, pa.list_(pa.int32()))]
+                for k in (1, 2) if include_intermediates else (1,):
+                    ends = np.arange(n + 1, dtype=np.int32) * (b - a)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([m[k].ravel() for m in made]))))
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "band", "shape", "data", "smooth"][: len(columns)])
+
+    schema = "t bigint, band int, shape array<int>, data array<double>" + ", smooth array<double>" * include_intermediates
+    return frames.select("t", "shape", "data").mapInArrow(run, schema)

@@ -30,15 +30,17 @@ def estimate_f0(pixels: DataFrame, half_window_size: int, which_quantile: float,
     return gaussian_filter(ranked, {a: spatial_stdev for a in sizes if a != "t"}, spatial_window_size, sizes)
 
 
-def extract_f0(pixels: DataFrame, bias: float | None = None, **background) -> DataFrame:
-    """(F - F0) / (F0 + bias); the bias is 1 - min(F) unless given."""
+def extract_f0(pixels: DataFrame, bias: float | None = None, by: list[str] | None = None, **background) -> DataFrame:
+    """(F - F0) / (F0 + bias); the bias is 1 - min(F) unless given, over all pixels or within the stacks that `by` tells apart."""
     keys = [c for c in pixels.columns if c != "v"]
     f0 = estimate_f0(pixels, **background).withColumnRenamed("v", "f0")
     joined = pixels.join(f0, keys)
-    if bias is None:
-        joined = joined.crossJoin(F.broadcast(pixels.agg((1 - F.min("v")).alias("b"))))
-    else:
+    if bias is not None:
         joined = joined.withColumn("b", F.lit(float(bias)))
+    elif by:
+        joined = joined.join(pixels.groupBy(*by).agg((1 - F.min("v")).alias("b")), by)
+    else:
+        joined = joined.crossJoin(F.broadcast(pixels.agg((1 - F.min("v")).alias("b"))))
     return joined.select(*keys, F.try_divide(F.col("v") - F.col("f0"), F.col("f0") + F.col("b")).alias("v"))
 
 

@@ -50,8 +50,9 @@ def learn(spark: SparkSession, parameters: dict, output: str, inputs: list[str])
     frames, shape, length = _stack(spark, inputs[0])
     blocked = parameters.get("generate_neurons_blocks")
     if blocked:
-        num = tuple(max(1, n) for n in blocked["num_blocks"][-2:])
-        found = pipeline.generate_neurons_blocks(spark, frames, shape, length, blocked["generate_neurons"], num, tuple(blocked["half_border_shape"][-2:]))
+        options = {"block_shape": "block_shape", "num_blocks": "num_blocks", "half_window_shape": "half_window", "half_border_shape": "half_border"}
+        given = {options[k]: v for k, v in blocked.items() if k in options}
+        found = pipeline.generate_neurons_blocks(frames, shape, length, blocked["generate_neurons"], **given)
     else:
         kept = store.recorder(spark, f"{output}_stages", overwrite=True)
         found = pipeline.generate_neurons(frames, shape, length, parameters["generate_neurons"], kept)

@@ -132,7 +132,7 @@ s2 as (select p.t,p.y,p.x,sum(q.w*b.v) v from a2 p cross join q join a2 b on b.t
 select 1 band,t,y,x,round(px.v-s1.v,6)+0.0 v from px join s1 using(t,y,x) union all select 2,t,y,x,round(s1.v-s2.v,6)+0.0 from s1 join s2 using(t,y,x)"""
 )
 def wavelet_bands(spark, sf_dir):
-    found = filters.wavelet_transform(pixels(spark, sf_dir), {"y": 2, "x": 2}, {"y": SHAPE[0], "x": SHAPE[1]}, include_lower_scales=True)
+    found = model.to_pixels(filters.frame_wavelets(frames(spark, sf_dir), 2, include_lower_scales=True))
     return found.select("band", "t", "y", "x", rounded("v"))
 
 
@@ -407,4 +407,81 @@ def extract_neurons(spark, sf_dir):
 @query()
 def merge_neurons(spark, sf_dir):
     found = neurons.extract_neurons(regions.label_components(frames(spark, sf_dir), 0.25), ["t", "label"])
-    return neurons.merge_neuron_sets(found, SHAPE, 0.9, 0.9).select("neuron", "area", F.round("max_F", 6).alias("max_f"))
+    return neurons.merge_neuron_sets(found, SHAPE, 0.9, 0.9, chains="reference").select("neuron", "area", F.round("max_F", 6).alias("max_f"))
+
+
+@query()
+def merge_neurons_once(spark, sf_dir):
+    """The neurons of odd frames merged into those of even ones."""
+    found = neurons.extract_neurons(regions.label_components(frames(spark, sf_dir), 0.25), ["t", "label"])
+    sets = [found.filter(F.col("t") % 2 == k) for k in (0, 1)]
+    return neurons.merge_neuron_sets_once(*sets, SHAPE, 0.9, 0.9).select("neuron", "area", F.round("max_F", 6).alias("max_f"))
+
+
+@query(
+    f"""with recursive {_LABELS}, p as (select l.t,label,px.y,px.x,v from l join px on px.t=l.t and px.y=l.i//8 and px.x=l.i%8),
+e as (select t,label,p.y,p.x,v,(select count(*) from p q where q.t=p.t and q.label=p.label and abs(q.y-p.y)+abs(q.x-p.x)=1)<4 as edge from p)
+select t,label,count(*)::double area,string_agg(y*8+x,',' order by y*8+x) mask,coalesce(string_agg(y*8+x,',' order by y*8+x) filter (where edge),'') contour,
+round(sum(v),6)+0.0 total from e group by t,label"""
+)
+def neuron_records(spark, sf_dir):
+    """Whole records, their mask and contour told as lists of pixels."""
+    found = neurons.extract_neurons(regions.label_components(frames(spark, sf_dir), 0.05), ["t", "label"])
+    named = found.withColumn("neuron", F.col("t") * 100 + F.col("label"))
+    records = neurons.neuron_records(named, SHAPE)
+
+    def listed(flags: str) -> Column:
+        at = F.filter(F.transform(flags, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+        return F.array_join(at.cast("array<string>"), ",").alias(flags)
+
+    total = F.aggregate("image", F.lit(0.0), lambda a, x: a + x)
+    return records.select(F.expr("neuron div 100").alias("t"), (F.col("neuron") % 100).cast("int").alias("label"), "area", listed("mask"), listed("contour"), (F.round(total, 6) + 0.0).alias("total"))
+
+
+# Eight frames that follow each other are the planes of a volume.
+_VOLUMES = """px as (select vec_id//8 t,vec_id%8 z,i//8 y,i%8 x,v
+  from (select vec_id, generate_subscripts(embedding,1)-1 i, unnest(embedding)::double v from embeddings))"""
+_VOLUME_LABELS = f"""{_VOLUMES}, m as (select t,z,y,x,(z*8+y)*8+x i,v from px where v>0.12), r(t,i,root) as (select t,i,i from m union
+select p.t,p.i,r.root from r join m q on q.t=r.t and q.i=r.i join m p on p.t=r.t and abs(p.z-q.z)+abs(p.y-q.y)+abs(p.x-q.x)=1),
+c as (select t,i,min(root) root from r group by t,i), l as (select t,i,dense_rank() over(partition by t order by root) as label from c)"""
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir).select(F.expr("t div 8").alias("t"), (F.col("t") % 8).alias("z"), "shape", "data")
+
+
+def volume_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of volumes, labelled in slabs of three planes."""
+    return regions.label_planes(planes(spark, sf_dir), 0.12, depth=3)
+
+
+@query(f"with recursive {_VOLUME_LABELS} select t,i,label from l")
+def label_volumes(spark, sf_dir):
+    return volume_regions(spark, sf_dir).select("t", ((F.col("z") * 8 + F.col("y")) * 8 + F.col("x")).alias("i"), "label")
+
+
+@query(
+    f"""with recursive {_VOLUME_LABELS}, p as (select l.t,label,z,y,x,v from l join m using(t,i)), s as (select t,label,count(*) area,sum(z) sz,sum(y) sy,sum(x) sx,
+sum(z*z) szz,sum(y*y) syy,sum(x*x) sxx,sum(z*y) szy,sum(z*x) szx,sum(y*x) syx,max(v) mf,(max(z)-min(z)+1)*(max(y)-min(y)+1)*(max(x)-min(x)+1) box from p group by all),
+k as (select *,(area*szz-sz*sz)::double/(area*area) a,(area*syy-sy*sy)::double/(area*area) b,(area*sxx-sx*sx)::double/(area*area) d,
+(area*szy-sz*sy)::double/(area*area) e,(area*szx-sz*sx)::double/(area*area) f,(area*syx-sy*sx)::double/(area*area) g from s),
+q as (select *,(a+b+d)/3 q from k), w as (select *,sqrt(((a-q)**2+(b-q)**2+(d-q)**2+2*(e**2+f**2+g**2))/6) p from q),
+u as (select *,case when p=0 then 1 else greatest(-1,least(1,((a-q)*((b-q)*(d-q)-g*g)-e*(e*(d-q)-g*f)+f*(e*g-(b-q)*f))/(2*p**3))) end r from w)
+select t,label,area,round(sz/area,6) cz,round(sy/area,6) cy,round(sx/area,6) cx,round(mf,6) max_f,round(area/box,6) extent,
+round(4*sqrt(q+2*p*cos(acos(r)/3)),4) major from u"""
+)
+def volume_props(spark, sf_dir):
+    found = regions.region_properties(volume_regions(spark, sf_dir), ["t", "label"])
+    return found.select("t", "label", "area", *[F.round(c, 6).alias(c) for c in ("cz", "cy", "cx", "max_f", "extent")], F.round("major_axis_length", 4).alias("major"))
+
+
+@query(
+    f"""with {_VOLUMES}, m as (select a.t,a.z,a.y,a.x,any_value(a.v) v from px a join px b on a.t=b.t and abs(a.z-b.z)<=1 and abs(a.y-b.y)<=1 and abs(a.x-b.x)<=1
+where a.v>0 group by a.t,a.z,a.y,a.x having max(b.v)<=any_value(a.v)) select t,z,y,x,round(v,6) v from m"""
+)
+def volume_maxima(spark, sf_dir):
+    return regions.local_maxima(volume_pixels(spark, sf_dir)).select("t", "z", "y", "x", F.round("v", 6).alias("v"))
+
+
+def volume_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.to_pixels(planes(spark, sf_dir)).select("t", "z", "y", "x", "v")
