@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from lumenstack.model import numbered
+
 
 def index_enumerator(spark: SparkSession, *sizes: int) -> DataFrame:
     """All indices of a space in C order: i0, i1, ... made from one range."""
@@ -49,3 +51,15 @@ def sliding_window(df: DataFrame, column: str, size: int, partition: list[str],
     """Each row with the `size` values from it on, where so many are left."""
     w = W.partitionBy(*partition).orderBy(*order).rowsBetween(0, size - 1)
     return df.withColumn("window", F.collect_list(column).over(w)).filter(F.size("window") == size)
+
+
+def filled_stringify_enumerate(df: DataFrame, order: list[str], index: str = "index", out: str = "padded") -> DataFrame:
+    """The rows with their place in the order, from 0, and the place as text, padded with zeros to the width of the last. Rows are numbered range by range."""
+    placed = numbered(df, order, index)
+    width = placed.agg(F.length((F.max(index)).cast("string")).alias("w"))
+    return placed.crossJoin(F.broadcast(width)).withColumn(out, F.lpad(F.col(index).cast("string"), F.col("w"), F.lit("0"))).drop("w")
+
+
+def filled_stringify_range(df: DataFrame, order: list[str]) -> DataFrame:
+    """(index, padded) of as many places as there are rows."""
+    return filled_stringify_enumerate(df, order).select("index", "padded")

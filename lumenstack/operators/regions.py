@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lumenstack.model import axes, axes_of, cut, places
+from lumenstack.model import axes, axes_of, cut, numbered, places
 from lumenstack.operators.components import unite
 
 
@@ -297,3 +297,55 @@ def contour(mask: DataFrame, sizes: tuple[int, ...], by: list[str]) -> DataFrame
     sent = mask.withColumn("o", F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip(names, o)]) for o in near])))
     held = sent.groupBy(*by, *[(F.col(a) + F.col(f"o.{a}")).alias(a) for a in names]).agg(F.count("*").alias("n")).filter(F.col("n") == len(near))
     return mask.join(held, [*by, *names], "left_anti")
+
+
+def squared_distances(mask: np.ndarray) -> np.ndarray:
+    """Each true pixel's squared Euclidean distance to the nearest false one; 0 where false, infinite where there is none.
+
+    Along one axis after another the least of a pixel's own value and of those at an offset, the offset's square added; offsets
+    whose square exceeds all values can't lower any.
+    """
+    least = np.where(mask, np.inf, 0.0)
+    for axis in range(mask.ndim):
+        before, n = least, mask.shape[axis]
+        offset = 1
+        while offset < n and offset * offset < least.max():
+            for sign in (-offset, offset):
+                step = tuple(sign if k == axis else 0 for k in range(mask.ndim))
+                least = np.minimum(least, shifted(before, step, np.inf) + offset * offset)
+            offset += 1
+    return least
+
+
+def band_contours(frames: DataFrame, separation_distance: float = 1.0, margin: float = 1.0) -> DataFrame:
+    """Frames (masks or images that are 0 outside) of which is left what lies, from the nearest pixel that is 0, at the distance give or take half the margin.
+
+    A frame without a 0 has no contour. Frames of two or three dimensions, each where it lies.
+    """
+    low, high = separation_distance - margin / 2, separation_distance + margin / 2
+
+    def kernel(image: np.ndarray) -> np.ndarray:
+        far = np.sqrt(squared_distances(image != 0))
+        return np.where((low <= far) & (far <= high), image, 0.0)
+
+    return frame_kernel(frames, kernel, "__contour", "array<double>").withColumn("data", F.col("__contour")).drop("__contour")
+
+
+def labeled_contours(frames: DataFrame, separation_distance: float = 1.0, margin: float = 1.0) -> DataFrame:
+    """Frames with a column `labels`: the contours' components, diagonal neighbours included, numbered in scan order."""
+    return frame_kernel(band_contours(frames, separation_distance, margin), lambda image: label_image(image != 0, 8), "labels")
+
+
+def enumerate_masks(masks: DataFrame, by: list[str], name: str = "k") -> DataFrame:
+    """Pixels of masks with `number`: the place of their mask, from 1, among the values that are there of the column `name`, within `by`."""
+    present = masks.select(*by, name).distinct()
+    if by:
+        names = present.withColumn("number", F.row_number().over(W.partitionBy(*by).orderBy(name)).cast("bigint"))
+    else:
+        names = numbered(present, [name], "number").withColumn("number", F.col("number") + 1)
+    return masks.join(names, [*by, name])
+
+
+def enumerate_masks_max(masks: DataFrame, by: list[str], name: str = "k") -> DataFrame:
+    """(by, pixel, number): of the masks that hold a pixel the one with the greatest number."""
+    return enumerate_masks(masks, by, name).groupBy(*by, *axes_of(masks)).agg(F.max("number").alias("number"))

@@ -485,3 +485,41 @@ def volume_maxima(spark, sf_dir):
 
 def volume_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.to_pixels(planes(spark, sf_dir)).select("t", "z", "y", "x", "v")
+
+
+_BAND = f"""{PX}, d as (select a.t,a.y,a.x,any_value(a.v) v,min((a.y-b.y)**2+(a.x-b.x)**2) d2 from px a join px b on a.t=b.t
+where a.v>0.0 and not b.v>0.0 group by a.t,a.y,a.x), e as (select t,y,x,v from d where sqrt(d2)>=0.9 and sqrt(d2)<=1.6)"""
+
+
+def positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose values that aren't above 0 are 0."""
+    return frames(spark, sf_dir).withColumn("data", F.transform("data", lambda v: F.when(v > 0, v).otherwise(F.lit(0.0))))
+
+
+@query(f"with {_BAND} select t,y,x,round(v,6) v from e")
+def band_contours(spark, sf_dir):
+    found = model.to_pixels(regions.band_contours(positive(spark, sf_dir), 1.25, 0.7))
+    return found.filter("v <> 0").select("t", "y", "x", F.round("v", 6).alias("v"))
+
+
+@query(
+    f"""with recursive {_BAND}, m as (select t,y,x,y*8+x i from e), r(t,i,root) as (select t,i,i from m union
+select p.t,p.i,r.root from r join m q on q.t=r.t and q.i=r.i join m p on p.t=r.t and abs(p.y-q.y)<=1 and abs(p.x-q.x)<=1),
+c as (select t,i,min(root) root from r group by t,i) select t,i,dense_rank() over(partition by t order by root) as label from c"""
+)
+def labeled_contours(spark, sf_dir):
+    found = regions.labeled_contours(positive(spark, sf_dir), 1.25, 0.7)
+    return found.select("t", F.posexplode("labels").alias("i", "label")).filter("label > 0").select("t", F.col("i").cast("bigint").alias("i"), "label")
+
+
+@query(f"with {PX}, m as (select t,y,x from px where v>0.3), n as (select t,row_number() over(order by t) k from (select distinct t from m)) select y,x,max(k) number from m join n using(t) group by y,x")
+def enumerate_masks_max(spark, sf_dir):
+    return regions.enumerate_masks_max(pixels(spark, sf_dir).filter("v > 0.3").select("t", "y", "x"), [], "t")
+
+
+@query(
+    """with n as (select user_id,event_id,row_number() over(order by user_id,event_id)-1 as "index" from events)
+select user_id,event_id,"index",lpad("index"::varchar,(select max(length("index"::varchar)) from n)::int,'0') padded from n"""
+)
+def filled_enumerate(spark, sf_dir):
+    return sequences.filled_stringify_enumerate(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id", "event_id"])
