@@ -1,4 +1,4 @@
-"""Registration of frames by whole-pixel shifts."""
+"""Registration of frames: whole-pixel shifts found by correlation, and shifts by any amount."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenstack.model import cut, to_pixels
+from lumenstack.model import cut
 
 log = logging.getLogger(__name__)
 
@@ -60,26 +60,70 @@ def shortest_wraparound(column: str, size: int):
     return F.when(once < -half, once + size).otherwise(once)
 
 
-def mean_frame(frames: DataFrame, shape: tuple[int, int], shifts: DataFrame | None = None) -> np.ndarray:
-    """The mean of the shifted frames, a frame in size."""
-    pixels = to_pixels(frames)
-    if shifts is not None:
-        pixels = roll_by(pixels, shifts, shape)
-    image = np.zeros(shape)
-    for r in pixels.groupBy("y", "x").agg(F.avg("v").alias("v")).collect():
-        image[r.y, r.x] = r.v
-    return image
+def translate_fourier(frames: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Each frame moved cyclically by its own shift (t, d: an array with a real number for each axis), by a phase ramp over its spectrum.
+
+    Whole shifts roll the frame; others give the values between pixels of the trigonometric interpolation, its real part.
+    Frames without a shift are left out.
+    """
+    joined = frames.select("t", "shape", "data").join(shifts.select("t", F.col("d").cast("array<double>").alias("d")), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row, (shape, d) in enumerate(zip(batch.column("shape").to_pylist(), batch.column("d").to_pylist())):
+                image = batch.column("data").slice(row, 1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(shape)
+                if len(d) != image.ndim:
+                    raise ValueError("a shift needs a number for each axis")
+                spectrum = np.fft.fftn(image)
+                for axis, by in enumerate(d):
+                    ramp = np.exp(-2j * np.pi * np.fft.fftfreq(shape[axis]) * by)
+                    spectrum = spectrum * ramp.reshape([-1 if k == axis else 1 for k in range(image.ndim)])
+                made.append(np.fft.ifftn(spectrum).real.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("shape"), pa.array(made, pa.list_(pa.float64()))], names=["t", "shape", "data"])
+
+    return joined.mapInArrow(run, "t bigint, shape array<int>, data array<double>")
 
 
-def register_mean_offsets(frames: DataFrame, shape: tuple[int, int], max_iters: int = 10) -> DataFrame:
+def _added_frames(table: pa.Table) -> pa.Table:
+    sums = table.column("total").combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(axis=0)
+    return pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "total": pa.array([sums], pa.list_(pa.float64()))})
+
+
+def mean_frame(frames: DataFrame, shape: tuple[int, int], shifts: DataFrame | None = None) -> np.ndarray:
+    """The mean of the shifted frames, a frame in size.
+
+    Each task rolls its frames and adds them up; the tasks' sums are added in two steps, a row each, so no pixel is a row.
+    """
+    still = [F.lit(0).cast("bigint").alias(a) for a in ("dy", "dx")]
+    moved = frames.select("t", "data", *still) if shifts is None else frames.select("t", "data").join(shifts.select("t", "dy", "dx"), "t").select("t", "data", "dy", "dx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(shape), 0
+        for batch in batches:
+            images = batch.column("data").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *shape)
+            for image, dy, dx in zip(images, batch.column("dy").to_pylist(), batch.column("dx").to_pylist()):
+                total += np.roll(image, (dy, dx), (0, 1))
+            n += len(batch)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["n", "total"])
+
+    schema = "part int, n bigint, total array<double>"
+    parts = moved.mapInArrow(run, "n bigint, total array<double>").select((F.spark_partition_id() % 64).alias("part"), "n", "total")
+    some = parts.groupBy("part").applyInArrow(_added_frames, schema).select(F.lit(0).alias("part"), "n", "total")
+    row = some.groupBy("part").applyInArrow(_added_frames, schema).first()  # of at most 64
+    return np.zeros(shape) if row is None else np.reshape(row.total, shape) / row.n
+
+
+def register_mean_offsets(frames: DataFrame, shape: tuple[int, int], max_iters: int = 10, tell: bool = False) -> DataFrame:
     """(t, dy, dx) that bring the frames onto their own mean: correlate, centre, average again, until no shift changes.
 
     The mean over frames of the shifts, rounded half to even, is taken off. There are at most max_iters rounds, or as many
     as it takes if that is below 0; shifts that then come back to those of an earlier round would go round for ever, and end
-    there with a warning.
+    there with a warning. With `tell` a column `converged` says whether the last round changed no shift.
     """
     shifts = frames.select("t", F.lit(0).cast("bigint").alias("dy"), F.lit(0).cast("bigint").alias("dx"))
-    rounds, seen = 0, set()
+    rounds, seen, same = 0, set(), False
     while rounds != max_iters:
         rounds += 1
         raw = find_offsets(frames, mean_frame(frames, shape, shifts))
@@ -97,4 +141,4 @@ def register_mean_offsets(frames: DataFrame, shape: tuple[int, int], max_iters:
             log.warning("no fixed point: after %d rounds the shifts are those of an earlier round", rounds)
             break
         seen.add(state)
-    return shifts
+    return shifts.withColumn("converged", F.lit(same)) if tell else shifts

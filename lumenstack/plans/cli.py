@@ -35,6 +35,11 @@ def convert(spark: SparkSession, parameters: dict, output: str, inputs: list[str
 def register(spark: SparkSession, parameters: dict, output: str, inputs: list[str]) -> None:
     """Frames onto their mean, cut to what every frame has; with include_shift the shifts go to a table beside."""
     frames, shape, _ = _stack(spark, inputs[0])
+    known = {"max_iters", "float_type", "include_shift", "block_frame_length", "to_truncate"}  # Spark deals frames out itself, in blocks of any length
+    if unknown := sorted(parameters.keys() - known):
+        raise ValueError(f"unknown parameters: {', '.join(unknown)}")
+    if not parameters.get("to_truncate", True):
+        raise ValueError("frames are cut to what every one has; to_truncate can't be off")
     if "128" in str(parameters.get("float_type", "")):
         raise ValueError("Spark has no floats of 128 bits")
     shifts = registration.register_mean_offsets(frames, shape, max_iters=parameters.get("max_iters", -1))

@@ -323,7 +323,7 @@ def find_offsets(spark, sf_dir):
 
 @query()
 def register_mean_offsets(spark, sf_dir):
-    return registration.register_mean_offsets(frames(spark, sf_dir), SHAPE, max_iters=3)
+    return registration.register_mean_offsets(frames(spark, sf_dir), SHAPE, max_iters=3, tell=True)
 
 
 @query(
