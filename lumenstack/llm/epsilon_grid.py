@@ -142,7 +142,8 @@ def near_duplicates(
     Rows link if their labels are equal and not null and their cosine is at least `least`; vectors that are null,
     empty, zero or hold null or non-finite components, and vectors of different lengths, link with nothing. Equal
     vectors of a label count as one class in the join, whatever their number. The axes are fitted on `sample`
-    vectors. Rows whose id is null take part; a component's name is the least id that isn't null, and kept is false.
+    vectors. A row whose id is null counts where an equal vector has an id, and its component is then named by that one; without such a vector it
+    links with nothing (n_links 0, no component). It is never kept.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")

@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
-Texts are cut in sentences and normalised; known sentences have identifiers, by exact form or by a
-pattern with a version in it; ordered rules over the identifiers of a document name its licences.
+Texts are cut in sentences and normalised; known sentences have identifiers, by their exact normalised form;
+rules, each an order of identifiers, name a document's licences: all whose rule is met.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ class Rule:
     sentences: tuple[str, ...]
 
 
-# SPDX names. Earlier rules come first where both match: the longer form of a family before the shorter.
+# SPDX names. Every rule that is met counts, a family's shorter form beside its longer one.
 RULES = (
     Rule("MIT", ("mit-grant", "mit-condition")),
     Rule("MIT", ("mit-ref",)),
