@@ -105,3 +105,24 @@ def read_masked(spark: SparkSession, path: str, t: tuple[int, int] | None = None
 def assign(pixels: DataFrame, update: DataFrame) -> DataFrame:
     """Pixels with those of an update in place of their own."""
     return pixels.join(update, ["t", "y", "x"], "left_anti").unionByName(update.select(pixels.columns))
+
+
+def resized(pixels: DataFrame, before: tuple[int, int, int], after: tuple[int, int, int]) -> DataFrame:
+    """The pixels (t, y, x, v, masked) of a stack whose sizes change: those outside the new sizes go, new ones are 0 and not masked.
+
+    Only new pixels are made, as up to three boxes of them: later times, then further rows, then further columns of what was there.
+    """
+    kept = pixels
+    for axis, n in zip(("t", "y", "x"), after):
+        kept = kept.filter(F.col(axis) < n)
+    spark = pixels.sparkSession
+    for axis in range(3):
+        low = [before[k] if k == axis else 0 for k in range(3)]
+        high = [min(before[k], after[k]) if k < axis else after[k] for k in range(3)]
+        sizes = [max(0, b - a) for a, b in zip(low, high)]
+        cells = spark.range(sizes[0] * sizes[1] * sizes[2])
+        if sizes[0] * sizes[1] * sizes[2]:
+            at = {"t": F.expr(f"id div {sizes[1] * sizes[2]}"), "y": F.expr(f"id div {sizes[2]} % {sizes[1]}"), "x": F.expr(f"id % {sizes[2]}")}
+            new = cells.select(*[(c + start).cast("bigint").alias(a) for (a, c), start in zip(at.items(), low)], F.lit(0.0).alias("v"), F.lit(False).alias("masked"))
+            kept = kept.unionByName(new)
+    return kept
