@@ -122,6 +122,35 @@ def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int, block: i
             yield alive[q], first * 64 + v
 
 
+def wide_fingerprints(hashes: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
+    """[runs, words]: fingerprints of 64 * words bits of the runs hashes[ends[i]:ends[i + 1]], each word from the hashes mixed anew; empty runs give zeros."""
+    out = np.zeros((len(ends) - 1, words), np.uint64)
+    for k in range(words):
+        mixed = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        out[:, k] = majority_bits(mixed ^ (mixed >> np.uint64(31)), ends)
+    return out
+
+
+def pairs_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Of the pairs a[i], b[i] of fingerprints [n, words], whether they differ in at most `radius` bits.
+
+    64 pairs share a machine word: planes of differing bits are added up by carry-save counters as in within_radius.
+    """
+    levels = max(1, radius.bit_length())
+    start, blocks = (1 << levels) - 1 - radius, -(-len(a) // 64)
+    everything = np.uint64(0xFFFFFFFFFFFFFFFF)
+    sums = [np.full(blocks, everything if start >> k & 1 else np.uint64(0), np.uint64) for k in range(levels)]
+    over = np.zeros(blocks, np.uint64)
+    for word in (a ^ b).T:
+        for carry in bit_planes(word):
+            for k in range(levels):
+                sums[k], carry = sums[k] ^ carry, sums[k] & carry
+            over |= carry
+    return np.unpackbits((~over).view(np.uint8), bitorder="little")[: len(a)].astype(bool)
+
+
 def _forest(values: np.ndarray, ids: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect the ids of what shares a bucket and lies within the radius: a spanning forest, not all pairs."""
     forest, a, b = Forest(len(values)), [], []
