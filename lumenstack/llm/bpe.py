@@ -13,7 +13,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import groupby
 from operator import itemgetter
@@ -34,8 +33,8 @@ STRETCH = re.compile(r"(?:[^\S\x1c-\x1f])*(?:\S|[\x1c-\x1f])+|\s+")
 MOST_HELD, MOST_WORDS, LONGEST_FOLDED = 200_000, 250_000, 255
 #: Text of a task, text of the sample whose words all tasks share, and the longest text of that sample.
 TASK_BYTES, COMMON_BYTES, LONGEST_SAMPLED = 48_000_000, 24_000_000, 1 << 20
-#: Bytes of words' numbers that are put together at once.
-AT_ONCE = 4_000_000
+#: Bytes of words' numbers that are put together at once, and bytes of text that are cut between two looks at the bounds.
+AT_ONCE, CUT_AT_ONCE = 1_000_000, 1_000_000
 #: A cell of the fold holds the rank of the pair that begins at a symbol, the symbol's place in the word, and its id.
 ID_BITS, PLACE_BITS = 20, 8
 NO_RANK = 1 << ID_BITS
@@ -229,25 +228,27 @@ class _References(dict):
 
 
 @tidy
-def _with_words(batches: Iterator[pa.RecordBatch], shared, common) -> Iterator[pa.RecordBatch]:
+def _with_words(batches: Iterator[pa.RecordBatch], shared, common, most_words: int | None = None, most_held: int | None = None) -> Iterator[pa.RecordBatch]:
     """Documents as they come, as the numbers of their words, each batch after the words it is the first to need.
 
-    Common words have the first numbers; a generation numbers its own words after them.
+    Common words have the first numbers; a generation numbers its own words after them. The bounds are MOST_WORDS and
+    MOST_HELD unless given.
     """
-    vocabulary, known = shared.value, common.value.numbers
+    most_words, most_held = most_words or MOST_WORDS, most_held or MOST_HELD
+    vocabulary, known = shared.value, common.value.numbers()
     pieces = regex.compile(vocabulary.pattern).findall
     own: dict[str, int] = {}
     refs_of = _References(pieces, known, own)
     generation = 0
     for batch in batches:
-        for first in range(0, len(batch), 500):
-            ids = batch.column("doc_id").slice(first, 500)
-            texts = batch.column("text").slice(first, 500).fill_null("").to_pylist()
-            if len(own) > MOST_WORDS:
+        for part in by_bytes([batch], "text", CUT_AT_ONCE):
+            ids, texts = part.column("doc_id"), part.column("text").fill_null("").to_pylist()
+            del part
+            if len(own) > most_words:
                 own.clear()
                 refs_of.clear()
                 generation += 1
-            elif len(refs_of) > MOST_HELD:
+            elif len(refs_of) > most_held:
                 refs_of.clear()
             held, at = len(own), refs_of.__getitem__
             bodies = [b"".join(map(at, STRETCH.findall(text))) for text in texts]
@@ -269,9 +270,10 @@ class CommonWords:
     def __reduce__(self):
         return CommonWords, (self.table,)
 
-    @cached_property
     def numbers(self) -> dict[str, int]:
-        return {w.decode(): k for k, w in enumerate(self.table.column("word").to_pylist())}
+        """Made anew for each task: a worker that next puts documents together shall not keep it."""
+        words = self.table.column("word")
+        return {w.as_py().decode(): k for k, w in enumerate(words)}
 
 
 class _Words:
@@ -314,7 +316,7 @@ def _taken(values: pa.Array, refs: pa.Array) -> tuple[memoryview, np.ndarray]:
 @tidy
 def _assembled(batches: Iterator[pa.RecordBatch], common, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Documents as the concatenation of their words' ids and bytes."""
-    words, generation = _Words(common.value.table), 0
+    words, generation = _Words(common.value.table.select(["ids", "decoded"])), 0
     for batch in batches:
         kind, age = batch.column("kind").to_numpy(), batch.column("generation").to_numpy()
         cuts = np.flatnonzero(np.diff(age) | np.diff(kind)) + 1  # words come before the documents that need them
@@ -357,31 +359,35 @@ def _folded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.withColumn("ids", F.when(F.col("kind") == WORD, ids)).withColumn("decoded", F.when(F.col("kind") == WORD, decoded(F.col("ids"), vocabulary)))
 
 
-def common_words(docs: DataFrame, shared, total: int) -> pa.Table:
-    """word, ids and decoded of the distinct words of about COMMON_BYTES of the texts, chosen by a hash of them."""
-    share = min(1.0, COMMON_BYTES / max(1, total))
+def common_words(docs: DataFrame, shared, total: int, common_bytes: int = COMMON_BYTES) -> pa.Table:
+    """word, ids and decoded of the distinct words of about common_bytes of the texts, chosen by a hash of them."""
+    share = min(1.0, common_bytes / max(1, total))
     chosen = docs.filter((F.octet_length("text") <= LONGEST_SAMPLED) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))))
     words = chosen.select("text").mapInArrow(lambda batches: _sample_words(batches, shared), "word string").distinct()
     rows = words.mapInArrow(lambda batches: _cells_of(batches, shared), _ROWS)
     return _folded(rows, shared.value).select("word", "ids", "decoded").toArrow().combine_chunks()
 
 
-def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(
+    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    common_bytes: int = COMMON_BYTES, most_words: int | None = None, most_held: int | None = None,
+) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
     bytes decoded from the ids), and the ids themselves if asked for.
 
     Null texts are empty: no tokens, the digests of nothing. Null ids stay null, ids that are no numbers are an error;
     repeated rows give a row each. Empty tables give an empty result. Other columns are not read. Special tokens are not
-    known: their strings are ordinary text.
+    known: their strings are ordinary text. Smaller bounds on the sample of common words and on what a task remembers
+    take less of a worker's memory and more time; the rows are the same.
     """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(vocabulary)  # bounded by the vocabulary
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     total = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    common = context.broadcast(CommonWords(common_words(source, shared, total)))  # bounded by the sample's bytes
+    common = context.broadcast(CommonWords(common_words(source, shared, total, common_bytes)))  # bounded by the sample's bytes
     spare()
     # the more text a task has, the rarer its new words: a stretch of documents of TASK_BYTES each
-    rows = source.coalesce(total // TASK_BYTES + 1).mapInArrow(lambda batches: _with_words(batches, shared, common), _ROWS)
+    rows = source.coalesce(total // TASK_BYTES + 1).mapInArrow(lambda batches: _with_words(batches, shared, common, most_words, most_held), _ROWS)
     rows = _folded(rows, vocabulary).select("kind", "generation", "number", "refs", "ids", "decoded")
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(lambda batches: _assembled(batches, common, with_ids), fields)

@@ -106,3 +106,25 @@ def test_stretches_keep_pieces_whole():
         text = "".join(rng.choice(["a", "'s", " ", "  ", "\n", "\t", "1", "!", "\x1c", "\x85", "　", "é", "'"]) for _ in range(20))
         pieces = [p for s in bpe.STRETCH.findall(text) for p in regex.findall(public_tokenizers.PATTERN, s)]
         assert pieces == regex.findall(public_tokenizers.PATTERN, text), repr(text)
+
+
+def test_bounds_change_no_row(documents, vocabulary):
+    found = [bpe.encode_decode(documents, vocabulary, with_ids=True, **bounds).collect() for bounds in ({}, {"common_bytes": 5_000, "most_words": 200, "most_held": 100})]
+    assert sorted(found[0]) == sorted(found[1])
+
+
+def test_bounds_hold_inside_a_batch_of_long_texts(vocabulary):
+    """40 texts of 50 kB, all of new words, in one batch: the words of a generation stay near the bound."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(5_000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})
+    shared, known = (type("Shared", (), {"value": v}) for v in (vocabulary, bpe.CommonWords(pa.table({"word": pa.array([b" the"])}))))
+    rows = [r for b in bpe._with_words(iter([batch]), shared, known, 1_000) for r in b.select(["kind", "generation"]).to_pylist()]
+    assert {r["generation"] for r in rows} == {0, 1}
+
+
+def test_no_dictionary_of_common_words_is_left_in_a_worker(vocabulary):
+    common = bpe.CommonWords(pa.table({"word": pa.array([b" the"])}))
+    shared, known = (type("Shared", (), {"value": v}) for v in (vocabulary, common))
+    list(bpe._with_words(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["see the sea"]})]), shared, known))
+    assert set(vars(common)) == {"table"}
