@@ -316,7 +316,7 @@ def _taken(values: pa.Array, refs: pa.Array) -> tuple[memoryview, np.ndarray]:
 @tidy
 def _assembled(batches: Iterator[pa.RecordBatch], common, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Documents as the concatenation of their words' ids and bytes."""
-    words, generation = _Words(common.value.table.select(["ids", "decoded"])), 0
+    words, generation = _Words(common.value.table.select(["ids", "decoded"])), None
     for batch in batches:
         kind, age = batch.column("kind").to_numpy(), batch.column("generation").to_numpy()
         cuts = np.flatnonzero(np.diff(age) | np.diff(kind)) + 1  # words come before the documents that need them
@@ -359,6 +359,14 @@ def _folded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.withColumn("ids", F.when(F.col("kind") == WORD, ids)).withColumn("decoded", F.when(F.col("kind") == WORD, decoded(F.col("ids"), vocabulary)))
 
 
+def _in_turn(rows: DataFrame, tasks: int) -> DataFrame:
+    """The rows after a shuffle, those of a task in one partition, in order, and generations told apart by their task too."""
+    at = F.col("__at")  # the task, then the row in it
+    task = F.shiftright(at, 33)
+    rows = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("generation", F.shiftleft(task, 32).bitwiseOR(F.col("generation")))
+    return rows.repartitionById(tasks, task.cast("int")).sortWithinPartitions(at).drop("__at")
+
+
 def common_words(docs: DataFrame, shared, total: int, common_bytes: int = COMMON_BYTES) -> pa.Table:
     """word, ids and decoded of the distinct words of about common_bytes of the texts, chosen by a hash of them."""
     share = min(1.0, common_bytes / max(1, total))
@@ -370,7 +378,7 @@ def common_words(docs: DataFrame, shared, total: int, common_bytes: int = COMMON
 
 def encode_decode(
     docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
-    common_bytes: int = COMMON_BYTES, most_words: int | None = None, most_held: int | None = None,
+    common_bytes: int = COMMON_BYTES, most_words: int | None = None, most_held: int | None = None, apart: bool = False,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
     bytes decoded from the ids), and the ids themselves if asked for.
@@ -378,16 +386,21 @@ def encode_decode(
     Null texts are empty: no tokens, the digests of nothing. Null ids stay null, ids that are no numbers are an error;
     repeated rows give a row each. Empty tables give an empty result. Other columns are not read. Special tokens are not
     known: their strings are ordinary text. Smaller bounds on the sample of common words and on what a task remembers
-    take less of a worker's memory and more time; the rows are the same.
+    take less of a worker's memory and more time; the rows are the same. So does apart: documents as numbers of words
+    pass through a shuffle before they are put together, so no task has two Python workers at a time.
     """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(vocabulary)  # bounded by the vocabulary
+    spare()  # what building the vocabulary, or a step before, left in the driver
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     total = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     common = context.broadcast(CommonWords(common_words(source, shared, total, common_bytes)))  # bounded by the sample's bytes
     spare()
     # the more text a task has, the rarer its new words: a stretch of documents of TASK_BYTES each
-    rows = source.coalesce(total // TASK_BYTES + 1).mapInArrow(lambda batches: _with_words(batches, shared, common, most_words, most_held), _ROWS)
+    tasks = total // TASK_BYTES + 1
+    rows = source.coalesce(tasks).mapInArrow(lambda batches: _with_words(batches, shared, common, most_words, most_held), _ROWS)
     rows = _folded(rows, vocabulary).select("kind", "generation", "number", "refs", "ids", "decoded")
+    if apart:
+        rows = _in_turn(rows, tasks)
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(lambda batches: _assembled(batches, common, with_ids), fields)

@@ -128,3 +128,14 @@ def test_no_dictionary_of_common_words_is_left_in_a_worker(vocabulary):
     shared, known = (type("Shared", (), {"value": v}) for v in (vocabulary, common))
     list(bpe._with_words(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["see the sea"]})]), shared, known))
     assert set(vars(common)) == {"table"}
+
+
+def test_documents_put_together_apart(documents, odd_rows, empty, vocabulary, monkeypatch):
+    """Many tasks, each of several generations, through the shuffle: the same rows."""
+    monkeypatch.setattr(bpe, "TASK_BYTES", 60_000)
+    docs = odd_rows.unionByName(documents.repartition(7), allowMissingColumns=True)
+    found = [bpe.encode_decode(docs, vocabulary, with_ids=True, common_bytes=2_000, most_words=200, apart=apart).collect() for apart in (False, True)]
+    assert sorted(found[1], key=repr) == sorted(found[0], key=repr)
+    texts = {r.doc_id: r.text for r in documents.collect()} | {r.doc_id: r.text for r in odd_rows.collect()}
+    check([r for r in found[1] if r.doc_id is None or r.doc_id > 10], texts)
+    assert bpe.encode_decode(empty, vocabulary, apart=True).count() == 0

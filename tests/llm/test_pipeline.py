@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenstack.llm.components import stored
-from lumenstack.llm import queries
+from lumenstack.llm import bpe, queries
 
 
 def test_stages_follow_each_other(spark, documents, sf_dir):
@@ -107,3 +107,16 @@ def test_repeated_passages_by_brute_force(spark, documents, sf_dir):
         if left or not any(gone):
             expected[i] = left
     assert {r.doc_id: r.text or "" for r in corpus_pipeline.repeated_passages(spark, documents, sf_dir).collect()} == expected
+
+
+def test_encode_has_one_python_worker_a_task_and_small_batches(spark, documents, sf_dir, monkeypatch):
+    """No stage of the plan runs Python twice; batches are smaller while it runs, and only then."""
+    seen, encode, store = [], bpe.encode_decode, corpus_pipeline.stored
+    monkeypatch.setattr(bpe, "encode_decode", lambda *args, **named: seen.append(encode(*args, **named)) or seen[0])
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda session, *args: seen.append(session.conf.get(corpus_pipeline.ARROW_ROWS)) or store(session, *args))
+    before = spark.conf.get(corpus_pipeline.ARROW_ROWS)
+    rows = corpus_pipeline.encode(spark, documents, sf_dir)
+    assert seen[1] == "1000" and before == spark.conf.get(corpus_pipeline.ARROW_ROWS) != "1000"
+    nodes = re.findall(r"MapInArrow|Exchange", seen[0]._jdf.queryExecution().executedPlan().toString())
+    assert nodes == ["MapInArrow", "Exchange", "MapInArrow"]
+    assert rows.count() == documents.count()
