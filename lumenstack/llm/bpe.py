@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 Distinct words travel as rows of their own, ahead of the documents that hold them, which name their words by number. A
-fold over a word's bytes merges the adjacent pair of least rank, again and again; pairs are found in a literal rank map.
+fold over a word's bytes merges the adjacent pair of least rank, again and again; pairs are found in a constant rank map.
 Decoding concatenates the binary pieces of the ids. Words of a bounded sample of the documents are folded once for all
 tasks, all others once a task; what a task holds is bounded and nothing is shuffled but the sample's words.
 """
@@ -14,14 +14,12 @@ import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenstack.llm.textbatch import by_bytes, byte_buffer, spare, tidy
 
@@ -58,7 +56,7 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 class Vocabulary:
-    """Ranks and pattern, and their literals for Spark expressions."""
+    """Ranks and pattern, and their constants for Spark expressions."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if not set(bytes([b]) for b in range(256)) <= ranks.keys() or max(ranks.values()) >= NO_RANK:
@@ -66,33 +64,28 @@ class Vocabulary:
         self.ranks, self.pattern = ranks, pattern
         pairs = pair_ranks(ranks)
         self.slots = 1 << max(8, len(pairs).bit_length() - 2)
-        entries = sorted((self._slot(left, right), left << ID_BITS | right, rank) for (left, right), rank in pairs.items())
-        slots = [""] * self.slots
-        for slot, cells in groupby(entries, key=itemgetter(0)):
-            slots[slot] = ",".join(f'"{pair}":{rank}' for _, pair, rank in cells)
-        self._rank_map = "[" + ",".join("{" + slot + "}" for slot in slots) + "]"
+        left, right = np.array(list(pairs), np.int64).reshape(-1, 2).T
+        made, slot = np.array(list(pairs.values()), np.int64), left * 40503 + right & self.slots - 1
+        order = np.argsort(slot, kind="stable")
+        starts = np.searchsorted(slot[order], np.arange(self.slots + 1)).astype(np.int32)
+        self.pair_slots = pa.MapArray.from_arrays(pa.array(starts), pa.array((left << ID_BITS | right)[order]), pa.array(made[order]))
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
-        self._pieces = ",".join(pieces)
+        self.hex_pieces = pa.array(pieces)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.byte_pairs = np.array([pairs.get((a, b), NO_RANK) for a in self.byte_ids.tolist() for b in self.byte_ids.tolist()], np.int64)
         #: tokens that their own bytes do not fold to; as words they are one id all the same
         self.whole = {token.hex().upper(): rank for token, rank in ranks.items() if merged_by_heap(token, ranks) != [rank]}
 
-    def _slot(self, left: int, right: int) -> int:
-        return (left * 40503 + right) & (self.slots - 1)
-
-    def rank_map(self) -> Column:
-        """array<map<string,bigint>>: in the slot of a pair, pairs to the ranks of what they make. A constant, folded before the job runs.
+    def constants(self, spark: SparkSession) -> DataFrame:
+        """One row. rank_map, array<map<bigint,bigint>>: in the slot of a pair, pairs to the ranks of what they make. pieces,
+        array<string>: the tokens by id, in hexadecimal.
 
         Spark looks maps up from end to end, so one map of all pairs is dealt into many small ones.
         """
-        return F.from_json(F.lit(self._rank_map), "array<map<string,bigint>>")
-
-    def pieces(self) -> Column:
-        """The tokens by id, in hexadecimal."""
-        return F.split(F.lit(self._pieces), ",")
+        whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (self.pair_slots, self.hex_pieces)]
+        return spark.createDataFrame(pa.table(whole, names=["rank_map", "pieces"]))
 
     def cells(self, words: list[bytes]) -> pa.ListArray:
         """The fold's first cells of each word: its bytes' ids, their places, and the ranks of the pairs they begin."""
@@ -105,20 +98,28 @@ class Vocabulary:
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(rank << ID_BITS + PLACE_BITS | place << ID_BITS | self.byte_ids[flat]))
 
 
+def _written(values: pa.Array, kind: str) -> Column:
+    """An array as a literal, folded before the job runs; JSON's maps have strings for keys."""
+    rows = [dict(x) if isinstance(x, list) else x for x in values.to_pylist()]
+    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), kind)
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with the value computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def encoded(word: Column, cells: Column, vocabulary: Vocabulary) -> Column:
-    """array<bigint>, the ids of a word, given with its first cells, of which there is one at least."""
+def encoded(word: Column, cells: Column, vocabulary: Vocabulary, rank_map: Column | None = None) -> Column:
+    """array<bigint>, the ids of a word, given with its first cells, of which there is one at least. rank_map: where the
+    vocabulary's is, or else it is written into the plan."""
     mask, place = F.lit((1 << ID_BITS) - 1), F.lit((1 << PLACE_BITS) - 1 << ID_BITS)
     lone = F.lit(NO_RANK << ID_BITS + PLACE_BITS)  # cells from here on begin no pair
 
     def fold(table: Column) -> Column:
         def cell(left: Column, right: Column, at: Column) -> Column:
             slot = F.get(table, (left * 40503 + right).bitwiseAND(F.lit(vocabulary.slots - 1)).cast("int"))
-            rank = F.element_at(slot, F.shiftleft(left, ID_BITS).bitwiseOR(right).cast("string"))
+            pair = F.shiftleft(left, ID_BITS).bitwiseOR(right)
+            rank = F.element_at(slot, pair.cast("string") if rank_map is None else pair)
             return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)), ID_BITS + PLACE_BITS).bitwiseOR(at).bitwiseOR(left)
 
         def merge(now: Column, least: Column) -> Column:
@@ -136,16 +137,17 @@ def encoded(word: Column, cells: Column, vocabulary: Vocabulary) -> Column:
         merged = F.aggregate(F.array_repeat(F.lit(0), F.size(cells) - 1), cells, lambda now, _: _let(F.array_min(now), lambda least: merge(now, least)))
         return F.transform(merged, lambda x: x.bitwiseAND(mask))
 
-    folded = _let(vocabulary.rank_map(), fold)
+    folded = _let(_written(vocabulary.pair_slots, "array<map<string,bigint>>") if rank_map is None else rank_map, fold)
     if vocabulary.whole:
         whole = F.element_at(F.from_json(F.lit(json.dumps(vocabulary.whole)), "map<string,bigint>"), F.hex(word))
         folded = F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
     return folded
 
 
-def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
-    """binary: the pieces of the ids, concatenated."""
-    return F.unhex(_let(vocabulary.pieces(), lambda pieces: F.concat_ws("", F.transform(ids, lambda i: F.get(pieces, i.cast("int"))))))
+def decoded(ids: Column, vocabulary: Vocabulary, pieces: Column | None = None) -> Column:
+    """binary: the pieces of the ids, concatenated. pieces: where the vocabulary's are, or else they are written into the plan."""
+    table = _written(vocabulary.hex_pieces, "array<string>") if pieces is None else pieces
+    return F.unhex(_let(table, lambda held: F.concat_ws("", F.transform(ids, lambda i: F.get(held, i.cast("int"))))))
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -354,9 +356,17 @@ def _put_together(doc_ids: pa.Array, flat: np.ndarray, ends: np.ndarray, words:
 
 
 def _folded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Rows of _ROWS with the ids and the decoded bytes of words."""
-    ids = F.coalesce(F.col("merged"), encoded(F.col("word"), F.col("cells"), vocabulary)).cast("array<int>")
-    return rows.withColumn("ids", F.when(F.col("kind") == WORD, ids)).withColumn("decoded", F.when(F.col("kind") == WORD, decoded(F.col("ids"), vocabulary)))
+    """Rows of _ROWS with the ids and the decoded bytes of words.
+
+    The vocabulary comes by scalar subqueries: the text of a literal, megabytes, would be kept in the driver with each plan
+    and each change of it. They may not stand in lambdas, so they are columns that Spark puts in their place; as each is used
+    once, no row ever holds them.
+    """
+    constants = vocabulary.constants(rows.sparkSession)
+    given = rows.withColumns({f"__{c}": constants.select(c).scalar() for c in constants.columns})
+    ids = F.coalesce(F.col("merged"), encoded(F.col("word"), F.col("cells"), vocabulary, F.col("__rank_map"))).cast("array<int>")
+    both = _let(ids, lambda x: F.struct(x.alias("ids"), decoded(x, vocabulary, F.col("__pieces")).alias("decoded")))
+    return given.select(*rows.columns, F.when(F.col("kind") == WORD, both).alias("__both")).select(*rows.columns, "__both.ids", "__both.decoded")
 
 
 def _in_turn(rows: DataFrame, tasks: int) -> DataFrame:

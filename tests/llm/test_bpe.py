@@ -139,3 +139,13 @@ def test_documents_put_together_apart(documents, odd_rows, empty, vocabulary, mo
     texts = {r.doc_id: r.text for r in documents.collect()} | {r.doc_id: r.text for r in odd_rows.collect()}
     check([r for r in found[1] if r.doc_id is None or r.doc_id > 10], texts)
     assert bpe.encode_decode(empty, vocabulary, apart=True).count() == 0
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_neither_plans_nor_rows_hold_the_vocabulary(documents, vocabulary, apart):
+    """The text of a plan, kept in the driver for each run and change of it, stays small; no column carries a constant."""
+    rows = bpe.encode_decode(documents, vocabulary, with_ids=True, apart=apart)
+    plan = rows._jdf.queryExecution().toString()
+    assert len(plan) < 200_000
+    chosen = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ubquery" in chosen and "__rank_map" not in chosen and "__pieces" not in chosen
