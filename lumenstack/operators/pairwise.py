@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lumenstack.operators.blocks import block_pairs, mask_blocks, overlaps, products_above, vector_blocks
 from lumenstack.operators.renorm import vector_norm
 
 
@@ -43,6 +44,16 @@ def dot_product_normalized(a: DataFrame, b: DataFrame, ord: float = 2, keep=None
     return matrix_reduced_op(normed(a), normed(b), op, keep)
 
 
+def products_over(a: DataFrame, b: DataFrame | None, above: float, ord: float = 2) -> DataFrame:
+    """The rows of dot_product_normalized whose value is above a bar, or NaN (which Spark and SQL order above all numbers), made by blocks.
+
+    Without b the pairs of different ids of a, each once, i < j. Vectors without an id take no part; those that are null, hold a null or differ in length give NaN.
+    """
+    packed = [None if df is None else vector_blocks(df.select("id", "v", vector_norm(F.col("v"), ord).alias("n"))) for df in (a, b)]
+    once = b is None
+    return block_pairs(*packed, lambda x, y, same: products_above(x, y, same, above, once), "i bigint, j bigint, value double")
+
+
 def dot_product_partially_normalized(a: DataFrame, b: DataFrame, ord: float = 2) -> DataFrame:
     """(i, j, over_i, over_j): the dot over the norm of each."""
     na, nb = (df.select(F.col("id").alias(k), vector_norm(F.col("v"), ord).alias(f"n{k}")) for df, k in ((a, "i"), (b, "j")))
@@ -51,16 +62,15 @@ def dot_product_partially_normalized(a: DataFrame, b: DataFrame, ord: float = 2)
     return joined.select("i", "j", F.coalesce(F.try_divide("value", "ni"), nan).alias("over_i"), F.coalesce(F.try_divide("value", "nj"), nan).alias("over_j"))
 
 
-def masks_overlap(a: DataFrame, b: DataFrame, key_a: str = "i", key_b: str = "j", position: tuple[str, ...] = ("y", "x")) -> DataFrame:
-    """(i, j, intersection, union, overlap) of the masks that share a pixel: rows are true pixels, joined by position.
+def masks_overlap(a: DataFrame, b: DataFrame | None, key_a: str = "i", key_b: str = "j", position: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """(i, j, intersection, union, overlap) of the masks that share a pixel: rows are true pixels, keys and positions integers. Made by blocks of masks.
 
-    Pairs without a common pixel have overlap 0 and are left out; their union is the sum of the areas.
+    Pairs without a common pixel have overlap 0 and are left out; their union is the sum of the areas. Without b the pairs of
+    different masks of a, each once, the lesser key first.
     """
-    areas_a = a.groupBy(key_a).agg(F.count("*").alias("area_a"))
-    areas_b = b.groupBy(key_b).agg(F.count("*").alias("area_b"))
-    common = a.join(b, list(position)).groupBy(key_a, key_b).agg(F.count("*").alias("intersection"))
-    joined = common.join(areas_a, key_a).join(areas_b, key_b).withColumn("union", F.col("area_a") + F.col("area_b") - F.col("intersection"))
-    return joined.select(key_a, key_b, "intersection", "union", (F.col("intersection") / F.col("union")).alias("overlap"))
+    names, axes, once = [key_a, key_b, "intersection", "union", "overlap"], len(position), b is None
+    packed = [mask_blocks(a, key_a, position), None if b is None else mask_blocks(b, key_b, position)]
+    return block_pairs(*packed, lambda x, y, same: overlaps(x, y, same, once, axes, names), f"`{key_a}` bigint, `{key_b}` bigint, intersection bigint, `union` bigint, overlap double")
 
 
 def threshold_array(column: str, threshold: float, include_below: bool = True, is_closed: bool = True) -> Column:
